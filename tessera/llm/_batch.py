@@ -7,8 +7,12 @@ and every slice hash is mixed before use.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -145,3 +149,31 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df with its last column, text, as compressed bytes: what a shuffle of whole texts should carry."""
+    fields = [f"{name} {kind}" for name, kind in df.dtypes[:-1]]
+    names = [*df.columns[:-1], "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            buf, offsets = utf8(batch.column(batch.num_columns - 1))
+            raw = memoryview(np.ascontiguousarray(buf))
+            bodies = [pack(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bodies, pa.binary())], names=names)
+
+    return df.mapInArrow(run, ", ".join([*fields, "body binary"]))
+
+
+def unpacked(batch: pa.RecordBatch, at: int, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of rows with the bytes and offsets of their texts, about so many bytes at a time, from a column of packed()."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    lo, held, size = 0, [], 0
+    for i, body in enumerate(batch.column(at)):
+        held.append(unpack(body.as_buffer()))
+        size += len(held[-1])
+        if size >= limit or i == batch.num_rows - 1:
+            yield lo, i + 1, np.frombuffer(b"".join(held), np.uint8), np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int64)
+            lo, held, size = i + 1, [], 0

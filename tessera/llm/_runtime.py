@@ -21,6 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
     out = df.checkpoint(eager=True)
+    del df  # the last reference, unless the caller keeps one
     gc.collect()
     context._jvm.System.gc()
     return out

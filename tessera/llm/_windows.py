@@ -25,20 +25,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batch import BYTES, grams, longs, mix, parts, powers, ranges, signed, utf8
+from ._batch import BYTES, grams, longs, mix, packed, parts, powers, ranges, signed, unpacked, utf8
 from ._runtime import cut
 
 PIECE = 1 << 20
-RUNS = "a long, c long, did long, fp long, v long, k int"
-SPANS = "did long, fp long, v long"
+#: v: 15 bits of the text's hash, the place of the first window (32 bits), the anchor's offset and the number of windows (8 each); below 0 for runs known to repeat.
+RUNS = "a long, c long, did long, v long"
+#: v: 15 bits of the text's hash, the place of the first window, the number of windows (16 bits).
+SPANS = "did long, v long"
+PLACE = (1 << 32) - 1
+LOCAL = -(1 << 63)
 _MASK = np.uint64((1 << 22) - 1)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """did (doc_id, a null as the least), fp (hash of the text), doc_id and text."""
+    """did (doc_id, a null as the least), fp (15 bits of the text's hash, which part rows with one doc_id), doc_id and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("fp"), F.col("doc_id"), text.alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("fp"), F.col("doc_id"), text.alias("text")
     )
 
 
@@ -105,19 +109,16 @@ def scan(tokenise: Callable, length: int, seed: int) -> Callable:
                     c = np.fromiter((digest(raw[x:y]) for x, y in zip((first * size).tolist(), ((first + n + length - 1) * size).tolist(), strict=True)), np.uint64, len(first))
                     # the place of the anchor is part of what must be equal
                     c ^= (o.astype(np.uint64) << np.uint64(8) | n.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    v, d, f = s0 << 16 | o << 8 | n, did[lo:hi][doc], fp[lo:hi][doc]
+                    v, d = fp[lo:hi][doc] << 48 | s0 << 16 | o << 8 | n, did[lo:hi][doc]
                     order = np.lexsort((v, d, c, a))
-                    a, c, v, d, f = a[order].view(np.int64), c[order].view(np.int64), v[order], d[order], f[order]
+                    a, c, v, d = a[order].view(np.int64), c[order].view(np.int64), v[order], d[order]
                     new = np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])] if len(a) else np.zeros(0, bool)
                     head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-                    later = (d != d[head]) | (v != v[head])
-                    local = ~new & later
+                    local = ~new & ((d != d[head]) | (v != v[head]))
                     keep = new | local
-                    spread = d * np.int64(-7046029254386353131) + v
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.where(local, spread, a)[keep]), pa.array(c[keep]), pa.array(d[keep]), pa.array(f[keep]), pa.array(v[keep]), pa.array(local[keep].astype(np.int32))],
-                        names=["a", "c", "did", "fp", "v", "k"],
-                    )
+                    # what is settled here needs no company: it is spread evenly
+                    a, c, v = np.where(local, d * np.int64(-7046029254386353131) + v, a), np.where(local, 0, c), np.where(local, v | LOCAL, v)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, c, d, v)], names=["a", "c", "did", "v"])
 
     return run
 
@@ -128,20 +129,21 @@ def _wide(tokens: np.ndarray) -> np.ndarray:
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of k, a, c, did, v. Gives (did, fp, v, open): open 0 for runs that repeat throughout, 1 for first runs whose anchor other runs share. Keeps one row between batches."""
+    """Rows in order of a, c, did, v. Gives (did, v, open): open 0 for runs that repeat throughout, 1 for first runs whose anchor other runs share. Keeps one row between batches."""
 
-    def out(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns[:3]] + [pa.array(columns[3].astype(np.int32))], names=["did", "fp", "v", "open"])
+    def out(did: np.ndarray, v: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(did), pa.array(v), pa.array(opened.astype(np.int32))], names=["did", "v", "open"])
 
     last = head = held = None  # (a, c) of the last row, (did, v) of its first run, a first run not yet settled
     for batch in batches:
-        a, c, did, fp, v, k = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-        n = int(np.searchsorted(k, 1))
-        if n < len(k):
-            yield out(did[n:], fp[n:], v[n:], np.zeros(len(k) - n))
+        a, c, did, v = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        local = v < 0
+        if local.any():
+            yield out(did[local], v[local] & ~LOCAL, np.zeros(int(local.sum())))
+            a, c, did, v = a[~local], c[~local], did[~local], v[~local]
+        n = len(a)
         if not n:
             continue
-        a, c, did, fp, v = a[:n], c[:n], did[:n], fp[:n], v[:n]
         group, run = np.ones(n, bool), np.ones(n, bool)
         group[1:] = a[1:] != a[:-1]
         run[1:] = group[1:] | (c[1:] != c[:-1])
@@ -156,46 +158,38 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.zeros(int(number[-1]) + 1, bool)
         shared[number[run & ~group]] = True
         if held is not None and shared[0] and not group[0]:
-            yield out(*(np.array([x], np.int64) for x in held), np.ones(1))
+            yield out(np.array([held[0]], np.int64), np.array([held[1]], np.int64), np.ones(1))
             held = None
-        if number[-1] and held is not None:
+        if number[-1]:
             held = None
         again = ~run & ((did != hd) | (v != hv))
         opened = run & (shared[number] | ~group)
-        yield out(did[again | opened], fp[again | opened], v[again | opened], opened[again | opened])
-        lone = np.flatnonzero(group)
-        if len(lone) and not shared[number[-1]]:
-            i = lone[-1]
-            held = (did[i], fp[i], v[i])
+        yield out(did[again | opened], v[again | opened], opened[again | opened])
+        heads = np.flatnonzero(group)
+        if len(heads) and not shared[number[-1]]:
+            held = (did[heads[-1]], v[heads[-1]])
         last, head = (a[-1], c[-1]), (hd[-1], hv[-1])
 
 
 def contexts(tokenise: Callable, length: int, seed: int) -> Callable:
-    """Of (did, fp, text, vs) the open runs' tokens: (a, did, fp, v, tokens)."""
+    """Of (did, body, vs) the open runs' tokens: (a, did, v, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = utf8(batch.column(2))
-            did, fp = longs(batch.column(0)), longs(batch.column(1))
-            lists = batch.column(3)
-            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
+            did, lists = longs(batch.column(0)), batch.column(2)
+            ends = np.r_[0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            for lo, hi in parts(offsets):
-                tokens, at = tokenise(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                base = int(ends[lo - 1]) if lo else 0
-                v = flat[base : int(ends[hi - 1])]
-                if not len(v):
-                    continue
-                doc = np.repeat(np.arange(hi - lo), np.diff(np.r_[base, ends[lo:hi]]))
-                s, o, n = at[doc] + (v >> 16), v >> 8 & 255, v & 255
+            for lo, hi, buf, offsets in unpacked(batch, 1):
+                tokens, at = tokenise(buf, offsets)
+                v = flat[ends[lo] : ends[hi]]
+                doc = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                s, o, n = at[doc] + (v >> 16 & PLACE), v >> 8 & 255, v & 255
                 size, raw = tokens.itemsize, np.ascontiguousarray(tokens).tobytes()
                 a = _seeds(tokens, s + o, seed)
                 for x in range(0, len(v), 4096):
                     y = slice(x, x + 4096)
                     text = [raw[i:j] for i, j in zip((s[y] * size).tolist(), ((s[y] + n[y] + length - 1) * size).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [signed(a[y]), pa.array(did[lo:hi][doc[y]]), pa.array(fp[lo:hi][doc[y]]), pa.array(v[y]), pa.array(text, pa.binary())], names=["a", "did", "fp", "v", "tokens"]
-                    )
+                    yield pa.RecordBatch.from_arrays([signed(a[y]), pa.array(did[lo:hi][doc[y]]), pa.array(v[y]), pa.array(text, pa.binary())], names=["a", "did", "v", "tokens"])
 
     return run
 
@@ -220,14 +214,14 @@ def solving(solve: Callable, length: int, kind: str, limit: int = 12_000) -> Cal
         count = 0
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
-            a, did, fp, v = (rows.column(i).to_numpy() for i in range(4))
-            tokens = rows.column(4).combine_chunks()
+            a, did, v = (rows.column(i).to_numpy() for i in range(3))
+            tokens = rows.column(3).combine_chunks()
             _, at, data = tokens.buffers()
             at = np.frombuffer(at, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
             flat = np.frombuffer(data, np.uint8)[: at[-1]]
             size = np.dtype(kind).itemsize
             flat, at = np.frombuffer(flat[at[0] :].tobytes(), kind), (at - at[0]) // size
-            s, o, n = v >> 16, v >> 8 & 255, v & 255
+            s, o, n = v >> 16 & PLACE, v >> 8 & 255, v & 255
             group = np.cumsum(np.r_[0, a[1:] != a[:-1]])
             dup = solve(flat, at[:-1], group, o, n, did, s + o)  # (runs, offsets)
             # windows in order of their start have falling offsets
@@ -236,7 +230,7 @@ def solving(solve: Callable, length: int, kind: str, limit: int = 12_000) -> Cal
             new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)] if len(row) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             many = np.diff(np.r_[first, len(row)])
-            return pa.RecordBatch.from_arrays([pa.array(did[row[first]]), pa.array(fp[row[first]]), pa.array(start[first] << 16 | many)], names=["did", "fp", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(did[row[first]]), pa.array(v[row[first]] >> 48 << 48 | start[first] << 16 | many)], names=["did", "v"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -259,42 +253,46 @@ def solving(solve: Callable, length: int, kind: str, limit: int = 12_000) -> Cal
 
 
 def repeats(docs: DataFrame, tokenise: Callable, solve: Callable, length: int, seed: int, kind: str) -> DataFrame:
-    """(did, fp, v) of windows of keyed(documents) that also start earlier: v >> 16 is the first of v & 65535 windows in a row."""
-    parted = docs.select("did", "fp", "text").mapInArrow(scan(tokenise, length, seed), RUNS)
-    parted = parted.repartition(_partitions(docs), "a").sortWithinPartitions("k", "a", "c", "did", "v")
-    settled = cut(parted.mapInArrow(resolve, f"{SPANS}, open int"))
-    left = settled.where("open = 1").groupBy("did", "fp").agg(F.collect_list("v").alias("vs"))
-    taken = docs.select("did", "fp", "text").join(left, ["did", "fp"]).select("did", "fp", "text", "vs")
-    around = taken.mapInArrow(contexts(tokenise, length, seed), "a long, did long, fp long, v long, tokens binary")
-    around = around.repartition(_partitions(docs), "a").sortWithinPartitions("a")
-    solved = around.mapInArrow(solving(solve, length, kind), SPANS)
-    return cut(solved.union(settled.where("open = 0").select("did", "fp", F.col("v").bitwiseAND(~(255 << 8)).alias("v"))))
+    """(did, v) of windows of keyed(documents) that also start earlier, v as in SPANS."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = lambda: docs.select("did", "fp", "text").mapInArrow(scan(tokenise, length, seed), RUNS).repartition(n, "a").sortWithinPartitions("a", "c", "did", "v")
+    settled = cut(parted().mapInArrow(resolve, f"{SPANS}, open int"))
+
+    def solved() -> DataFrame:
+        left = settled.where("open = 1").groupBy("did", _text("v")).agg(F.collect_list("v").alias("vs"))
+        taken = packed(docs.select("did", "fp", "text")).join(left, ["did", "fp"]).select("did", "body", "vs")
+        around = taken.mapInArrow(contexts(tokenise, length, seed), "a long, did long, v long, tokens binary")
+        around = around.repartition(n, "a").sortWithinPartitions("a")
+        closed = settled.where("open = 0").select("did", F.col("v").bitwiseAND(~(255 << 8)).alias("v"))
+        return around.mapInArrow(solving(solve, length, kind), SPANS).union(closed)
+
+    return cut(solved())
 
 
-def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _text(v: str):
+    return F.shiftright(v, 48).alias("fp")
 
 
-def marked(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str, ids: str = "doc_id") -> DataFrame:
+def marked(docs: DataFrame, spans: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """finish(text as bytes, firsts, counts) of every document, as columns of schema after doc_id."""
-    lists = spans.groupBy("did", "fp").agg(F.collect_list("v").alias("vs"))
-    joined = docs.join(lists, ["did", "fp"], "left").select("doc_id", "text", "vs")
+    lists = spans.groupBy("did", _text("v")).agg(F.collect_list("v").alias("vs"))
+    joined = packed(docs.select("did", "fp", "doc_id", "text")).join(lists, ["did", "fp"], "left").select("doc_id", "body", "vs")
     kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", *(x.split()[0] for x in schema.split(","))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = utf8(batch.column(1))
             lists = batch.column(2)
             ends = np.r_[0, np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            rows = []
-            for i in range(batch.num_rows):
-                v = np.sort(flat[ends[i] : ends[i + 1]])
-                rows.append(finish(buf[offsets[i] : offsets[i + 1]], v >> 16, v & 65535))
-            columns = list(zip(*rows, strict=True)) or [[] for _ in schema.split(",")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in columns)], names=[ids, *(x.split()[0] for x in schema.split(","))])
-
-    return joined.mapInArrow(run, f"{ids} {kind}, {schema}")
+            for lo, hi, buf, offsets in unpacked(batch, 1):
+                rows = []
+                for i in range(lo, hi):
+                    v = np.sort(flat[ends[i] : ends[i + 1]])
+                    rows.append(finish(buf[offsets[i - lo] : offsets[i - lo + 1]], v >> 16 & PLACE, v & 65535))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x) for x in zip(*rows, strict=True))], names=names)
+
+    return joined.mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
 def removed(firsts: np.ndarray, counts: np.ndarray, length: int, total: int) -> np.ndarray:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batch import grams, longs, mix, parts, prefix, ranges, slices, utf8, words
+from ._batch import grams, mix, packed, parts, prefix, ranges, slices, unpacked, utf8, words
 from ._runtime import components, cut
 from ._windows import keyed
 
@@ -156,13 +156,12 @@ def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(size: int) -> Callable:
-    """(did, text, root, blocks) to (did, set, root, blocks)."""
+    """(did, body, root, blocks) to (did, set, root, blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = utf8(batch.column(1))
-            for lo, hi in parts(offsets):
-                h, at = shingles(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+            for lo, hi, buf, offsets in unpacked(batch, 1):
+                h, at = shingles(buf, offsets, size)
                 raw = h.tobytes()
                 sets = [raw[8 * x : 8 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 cells = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)]
@@ -225,7 +224,7 @@ def near_groups(documents: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     own = F.pmod(F.xxhash64("did"), F.col("many")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     members = members.join(load, "root").select("did", "fp", "root", pairs.alias("blocks"))
-    gathered = docs.select("did", "fp", "text").join(members, ["did", "fp"]).select("did", "text", "root", "blocks")
+    gathered = packed(docs.select("did", "fp", "text")).join(members, ["did", "fp"]).select("did", "body", "root", "blocks")
     sets = gathered.mapInArrow(full_sets(size), "did long, set binary, root long, blocks array<struct<i:int,j:int>>")
     blocks = sets.select("did", "set", "root", F.explode("blocks").alias("block")).select("root", "block.i", "block.j", "did", "set")
     links = blocks.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "did").mapInArrow(true_links(percent), "a long, b long")
