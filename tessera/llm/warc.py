@@ -2,8 +2,9 @@
 
 A capture is written as three records: the response (or a revisit, if another record holds the same
 payload), the request and a metadata record; the latter two name the first in WARC-Concurrent-To.
-Archives are plain WARC/1.1 files, written by Spark's text writer (a record ends with CR LF CR LF, which is
-that writer's line separator) and read by Spark's binary reader, so any store that Spark reaches will do.
+Archives are WARC/1.1 files, gzipped unless told otherwise, written by Spark's text writer (a record ends with CR LF CR LF,
+which is that writer's line separator) and read by Spark's binary reader, so any store that Spark reaches will do.
+Payloads cross shuffles compressed.
 
 Of equal payloads (by SHA-1 over the whole payload) of at least ``least`` bytes, the capture with the largest
 page_id is the response. Cases: null html is an empty payload; null urls become ``urn:page:<id>``, and rows with a
@@ -13,19 +14,24 @@ null page_id are left out, as a capture needs a name; rows that repeat a page_id
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._batch import packed
 from ._runtime import shared_folder
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: About so many bytes of payload go to one archive.
-FILE_BYTES = 16 << 20
+#: At most so many captures go to one archive, which is read as a whole.
+FILE_CAPTURES = 5000
+PARTS = ("response", "request", "metadata")
 RECORD = "archive string, record_id string, type string, concurrent_to string, refers_to_id string, target_uri string, digest string, headers map<string,string>, block binary"
 
 
@@ -40,10 +46,12 @@ def record(kind: str, name: str, fields: list[tuple[str, str]], block: str) -> s
 
 
 def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, copy, url, html, digest as hex, page and copy referred to or null) to the text of three records."""
+    """(page_id, copy, url, packed html, digest as hex, page and copy referred to or null) to the text of three records."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
-        for page, copy, url, html, sha, other, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for page, copy, url, body, sha, other, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            html = unpack(body).decode("utf-8", "surrogatepass")
             name = f"urn:capture:{page}:{copy}"
             target = "".join(c for c in (url or "") if c > " ") or f"urn:page:{page}"
             digest = "sha1:" + base32(bytes.fromhex(sha))
@@ -69,20 +77,19 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
+def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
     """Archives of the captures ``pages(page_id, url, html)`` in the new folder path."""
-    p = pages.where("page_id is not null").select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    )
-    p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html"))
-    p = p.withColumn("copy", F.xxhash64("url", "digest"))
-    heads = p.where(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "copy")).alias("head"))
-    p = p.join(heads, "digest", "left").withColumn("own", F.struct("page_id", "copy"))
-    other = lambda c: F.when(F.col("head").isNotNull() & (F.col("head") != F.col("own")), F.col(f"head.{c}"))
-    rows = p.select("page_id", "copy", "url", "html", "digest", other("page_id").alias("other"), other("copy").alias("again"))
-    size = pages.agg(F.sum(F.octet_length("html") + 1000)).first()[0] or 0
-    rows = rows.repartition(max(1, -(-size // FILE_BYTES)))
-    rows.mapInArrow(records, "value string").write.option("lineSep", END).text(path)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    p = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    digest = F.sha1(F.col("html").cast("binary")).alias("digest")
+    p = p.select("page_id", "url", digest, F.xxhash64("url", digest).alias("copy"), F.octet_length("html").alias("n"), "html")
+    own = F.struct("page_id", "copy")
+    heads = p.where(F.col("n") >= least).groupBy("digest").agg(F.max(own).alias("head"))
+    p = packed(p).join(heads, "digest", "left")
+    other = lambda c: F.when(F.col("head").isNotNull() & (F.col("head") != own), F.col(f"head.{c}"))
+    rows = p.select("page_id", "copy", "url", "body", "digest", other("page_id").alias("other"), other("copy").alias("again"))
+    writer = rows.mapInArrow(records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", FILE_CAPTURES)
+    writer.option("compression", compression).text(path)
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +97,12 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.strip().split()[0] for x in RECORD.replace("map<string,string>", "map").split(",")]
     kinds = [pa.string()] * 7 + [pa.map_(pa.string(), pa.string()), pa.binary()]
     clean = lambda x: None if x is None else x.strip().strip("<>")
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for i in range(batch.num_rows):
-            path, content = batch.column(0)[i].as_py(), memoryview(batch.column(1)[i].as_buffer() or b"")
+            path, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
             at, rows, held = 0, [], 0
-            data = content.tobytes()
             while (begin := data.find(b"WARC/1.", at)) >= 0:
                 end = data.index(b"\r\n\r\n", begin)
                 lines = data[begin:end].decode("utf-8", "replace").split("\r\n")[1:]
@@ -103,7 +111,7 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block = data[end + 4 : end + 4 + size]
                 at = end + 4 + size
                 digest = headers.get("WARC-Payload-Digest")
-                rows.append((path, clean(headers["WARC-Record-ID"]), headers["WARC-Type"], clean(headers.get("WARC-Concurrent-To")), clean(headers.get("WARC-Refers-To")), headers.get("WARC-Target-URI"), digest and digest.partition(":")[2], list(headers.items()), block))
+                rows.append((path, clean(headers["WARC-Record-ID"]), headers["WARC-Type"], clean(headers.get("WARC-Concurrent-To")), clean(headers.get("WARC-Refers-To")), headers.get("WARC-Target-URI"), digest and digest.partition(":")[2], list(headers.items()), pack(block)))
                 held += size
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -113,32 +121,33 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in a folder."""
+    """One row per record of the archives in a folder; block is packed (zstd)."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parsed, RECORD)
 
 
-def _checked(blocks: pa.Array) -> Iterator[tuple[int | None, str | None]]:
-    for block in blocks:
-        data = block.as_py()
-        if data is None:
-            yield None, None
-            continue
-        payload = data[data.index(b"\r\n\r\n") + 4 :]
-        yield len(payload), base32(hashlib.sha1(payload).digest())
-
-
-def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds size and digest of the payload in the last column, for responses."""
-    for batch in batches:
-        found = list(_checked(batch.column(batch.num_columns - 1)))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())],
-            names=[*batch.schema.names, "payload_bytes", "payload_digest"],
-        )
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unpacks the blocks in capture_id, response, request, metadata, and adds size and digest of a response's payload."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            batch = whole.slice(lo, 500)
+            columns, found = [batch.column(0)], []
+            for c in (batch.column(1 + i) for i in range(len(PARTS))):
+                children = dict(zip((f.name for f in c.type), c.flatten(), strict=True))
+                children["block"] = pa.array([None if x is None else unpack(x) for x in children["block"].to_pylist()], pa.binary())
+                columns.append(pa.StructArray.from_arrays(list(children.values()), list(children), mask=pa.array(~np.asarray(c.is_valid()))))
+            response = columns[1]
+            for kind, block in zip(response.field("type").to_pylist(), response.field("block").to_pylist(), strict=True):
+                payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
+                found.append((None, None) if payload is None else (len(payload), base32(hashlib.sha1(payload).digest())))
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())],
+                names=["capture_id", *PARTS, "payload_bytes", "payload_digest"],
+            )
 
 
 def transactions(read_records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, response (the response or revisit), request, metadata.
+    """One nested row per capture: capture_id, response (the response or revisit), request, metadata, and payload_bytes and payload_digest as measured on a response's payload.
 
     Requests and metadata join the record that their WARC-Concurrent-To names. A request whose response is missing
     still makes a row, with a null response."""
@@ -146,9 +155,10 @@ def transactions(read_records: DataFrame) -> DataFrame:
     key = F.coalesce("concurrent_to", "record_id")
     main = F.col("type").isin("response", "revisit")
     first = lambda where: F.first(F.when(where, part), ignorenulls=True)
-    return read_records.where(F.col("type").isin("response", "revisit", "request", "metadata")).groupBy(key.alias("capture_id")).agg(
+    rows = read_records.where(F.col("type").isin("response", "revisit", "request", "metadata")).groupBy(key.alias("capture_id")).agg(
         first(main).alias("response"), first(F.col("type") == "request").alias("request"), first(F.col("type") == "metadata").alias("metadata")
     )
+    return rows.mapInArrow(opened, f"{rows.schema.simpleString()[7:-1]},payload_bytes:bigint,payload_digest:string")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
@@ -159,14 +169,10 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
     rows = transactions(read(spark, folder))
     page = lambda c: F.regexp_extract(c, r"^urn:capture:(-?\d+):", 1).cast("long")
     told = F.regexp_extract(F.col("metadata.block").cast("string"), r"payloadBytes: (\d+)", 1).cast("long")
-    kept = F.when(F.col("response.type") == "response", F.col("response.block"))
-    rows = rows.select("*", page("capture_id").alias("page_id"), told.alias("told"), kept.alias("block"))
-    schema = f"{rows.schema.simpleString()[7:-1]},payload_bytes:bigint,payload_digest:string"
-    rows = rows.mapInArrow(measured, schema)
     whole = F.col("response.type") == "response"
     return rows.select(
-        "page_id",
-        F.when(whole, F.col("payload_bytes")).otherwise(F.col("told")).alias("payload_bytes"),
+        page("capture_id").alias("page_id"),
+        F.when(whole, F.col("payload_bytes")).otherwise(told).alias("payload_bytes"),
         F.when(whole, F.col("payload_digest")).otherwise(F.col("response.digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         F.when(~whole, page("response.refers_to_id")).alias("refers_to"),
