@@ -47,21 +47,27 @@ def bucketed(value: Column, targets: dict[str, float]) -> Column:
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int) -> DataFrame:
     """cells(keys..., n) with w, the raked share of tokens. All cells, bounded by the targets, are one row meanwhile."""
     dims = list(targets)
+    names = {d: [*(k for k in targets[d] if k != "*"), "*"] for d in dims}
     goal = [F.coalesce(*(F.when(F.col(d) == k, F.lit(float(v))) for k, v in targets[d].items()), F.lit(0.0)) for d in dims]
-    cell = F.struct(F.array(*dims).alias("ks"), F.array(*goal).alias("ts"), F.col("n").cast("double").alias("n"))
+    place = [F.coalesce(*(F.when(F.col(d) == k, F.lit(i)) for i, k in enumerate(names[d]))) for d in dims]
+    cell = F.struct(F.array(*dims).alias("ks"), F.array(*place).alias("ps"), F.array(*goal).alias("ts"), F.col("n").cast("double").alias("n"))
     one = cells.where("n > 0").groupBy().agg(F.array_sort(F.collect_list(cell)).alias("cs"))
-    size = len(dims)
-    alike = "aggregate(cs, 0D, (a, x) -> a + if(get(x.ks, {j}) = get(c.ks, {j}), {v}, 0D))"
-    # a value's goal is divided by the number of its cells, so that adding up over cells counts each value once
-    share = ", ".join(f"get(c.ts, {j}) / {alike.format(j=j, v='1D')}" for j in range(size))
-    one = one.selectExpr(f"transform(cs, c -> named_struct('ks', c.ks, 'ts', c.ts, 'us', array({share}), 'n', c.n)) AS cs")
-    whole = ", ".join(f"get(c.ts, {j}) / aggregate(cs, 0D, (a, x) -> a + get(x.us, {j}))" for j in range(size))
-    one = one.selectExpr(f"transform(cs, c -> named_struct('ks', c.ks, 'ts', array({whole}), 'n', c.n, 'w', c.n / aggregate(cs, 0D, (a, x) -> a + x.n))) AS cs")
-    total = alike.format(j=f"i % {size}", v="x.w")
-    step = f"transform(cs, c -> named_struct('ks', c.ks, 'ts', c.ts, 'n', c.n, 'w', if(c.w > 0, c.w * get(c.ts, i % {size}) / {total}, 0D)))"
-    one = one.selectExpr(f"aggregate(sequence(0, {size * rounds - 1}), cs, (cs, i) -> {step}) AS cs")
+    size, most = len(dims), max(len(x) for x in names.values())
+    # goals are rescaled to the values that occur
+    occur = "aggregate(sequence(0, {last}), 0D, (a, v) -> a + coalesce(get(filter(cs, x -> get(x.ps, {j}) = v), 0).ts[{j}], 0D))"
+    whole = ", ".join(occur.format(j=j, last=len(names[d]) - 1) for j, d in enumerate(dims))
+    one = one.selectExpr("cs", f"array({whole}) AS goals", "aggregate(cs, 0D, (a, x) -> a + x.n) AS total")
+    shares = ", ".join(f"get(c.ts, {j}) / get(goals, {j})" for j in range(size))
+    one = one.selectExpr(f"transform(cs, c -> named_struct('ks', c.ks, 'ps', c.ps, 'ts', array({shares}), 'n', c.n, 'w', c.n / total)) AS cs")
+    # even steps add up the weights by value of one margin, odd steps rake them
+    j = f"(i div 2) % {size}"
+    add = f"named_struct('cs', s.cs, 'sums', transform(sequence(0, {most - 1}), v -> aggregate(s.cs, 0D, (a, x) -> a + if(get(x.ps, {j}) = v, x.w, 0D))))"
+    new = f"named_struct('ks', c.ks, 'ps', c.ps, 'ts', c.ts, 'n', c.n, 'w', if(c.w > 0, c.w * get(c.ts, {j}) / get(s.sums, get(c.ps, {j})), 0D))"
+    rake = f"named_struct('cs', transform(s.cs, c -> {new}), 'sums', s.sums)"
+    start = "named_struct('cs', cs, 'sums', cast(array() AS array<double>))"
+    one = one.selectExpr(f"aggregate(sequence(0, {2 * size * rounds - 1}), {start}, (s, i) -> if(i % 2 = 0, {add}, {rake}), s -> s.cs) AS cs")
     rows = one.select(F.explode("cs").alias("c"))
-    return rows.select(*(F.get("c.ks", F.lit(j)).alias(d) for j, d in enumerate(dims)), F.col("c.n").alias("n"), F.col("c.w").alias("w"))
+    return rows.select(*(F.get("c.ks", F.lit(k)).alias(d) for k, d in enumerate(dims)), F.col("c.n").alias("n"), F.col("c.w").alias("w"))
 
 
 def probabilities(cells: DataFrame, dims: list[str], budget: float) -> DataFrame:
