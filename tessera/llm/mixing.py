@@ -57,7 +57,7 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int) -
     occur = "aggregate(sequence(0, {last}), 0D, (a, v) -> a + coalesce(get(filter(cs, x -> get(x.ps, {j}) = v), 0).ts[{j}], 0D))"
     whole = ", ".join(occur.format(j=j, last=len(names[d]) - 1) for j, d in enumerate(dims))
     one = one.selectExpr("cs", f"array({whole}) AS goals", "aggregate(cs, 0D, (a, x) -> a + x.n) AS total")
-    shares = ", ".join(f"get(c.ts, {j}) / get(goals, {j})" for j in range(size))
+    shares = ", ".join(f"coalesce(try_divide(get(c.ts, {j}), get(goals, {j})), 0D)" for j in range(size))
     one = one.selectExpr(f"transform(cs, c -> named_struct('ks', c.ks, 'ps', c.ps, 'ts', array({shares}), 'n', c.n, 'w', c.n / total)) AS cs")
     # even steps add up the weights by value of one margin, odd steps rake them
     j = f"(i div 2) % {size}"
@@ -110,13 +110,13 @@ def mix(documents: DataFrame, targets: dict[str, dict[str, float]] = TARGETS, bu
     own = [c for c in documents.columns if c not in ("topic", "n_tokens", "probability", "sample_weight")]
     made = documents.select(*own, topic_of(text).alias("topic"), tokens(text).alias("n_tokens"))
     dims = list(targets)
-    keys = [bucketed(F.coalesce(F.col(d).cast("string"), F.lit("*")), targets[d]).alias(f"_{d}") for d in dims]
-    cells = made.select(*keys, "n_tokens").groupBy(*(f"_{d}" for d in dims)).agg(F.sum("n_tokens").alias("n"))
-    cells = raked(cells.select(*(F.col(f"_{d}").alias(d) for d in dims), "n"), targets, rounds)
-    table = probabilities(cells, dims, budget).select(*(F.col(d).alias(f"_{d}") for d in dims), "p", "weight")
-    drawn = made.select("*", *keys).join(F.broadcast(table), [f"_{d}" for d in dims])
-    drawn = drawn.where(chance(F.col("doc_id"), seed) < F.col("p"))
-    return drawn.select(*own, "topic", "n_tokens", F.col("p").alias("probability"), F.col("weight").alias("sample_weight"))
+    keys = [bucketed(F.coalesce(F.col(d).cast("string"), F.lit("*")), targets[d]).alias(f"__mix_{d}") for d in dims]
+    cells = made.select(*keys, "n_tokens").groupBy(*(f"__mix_{d}" for d in dims)).agg(F.sum("n_tokens").alias("n"))
+    cells = raked(cells.select(*(F.col(f"__mix_{d}").alias(d) for d in dims), "n"), targets, rounds)
+    table = probabilities(cells, dims, budget).select(*(F.col(d).alias(f"__mix_{d}") for d in dims), F.col("p").alias("__mix_p"), F.col("weight").alias("__mix_w"))
+    drawn = made.select("*", *keys).join(F.broadcast(table), [f"__mix_{d}" for d in dims])
+    drawn = drawn.where(chance(F.col("doc_id"), seed) < F.col("__mix_p"))
+    return drawn.select(*own, "topic", "n_tokens", F.col("__mix_p").alias("probability"), F.col("__mix_w").alias("sample_weight"))
 
 
 def sql(documents: str = "documents", targets=TARGETS, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix") -> str:
