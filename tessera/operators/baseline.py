@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import have
+from ..functions.runtime import cut
 from . import sanity
 from .cleaning import hard_clean, split
 from .dedup import by_address, by_photos
@@ -27,12 +28,13 @@ def build(rows: DataFrame, order: list[str], cache: DataFrame | None = None, ext
         return kept
 
     kept = step(hard_clean(rows, order))
-    kept = step(by_photos(kept, order))
-    kept = step(by_address(kept, order))
+    # what each stage tags is read twice, as kept and as dropped
+    kept = step(cut(by_photos(kept, order)))
+    kept = step(cut(by_address(kept, order)))
     kept = step(sanity.floor_integrity(kept))
     for value, low, high, label, stage in (sanity.PRICE, sanity.AREA):
         kept = step(sanity.hard_bounds(kept, value(), low, high, label, stage))
-        kept = step(sanity.outliers(kept, value(), F.col("rooms"), label, stage))
+        kept = step(cut(sanity.outliers(kept, value(), F.col("rooms"), label, stage)))
     after = None
     if extractor is not None:
         kept, after = analyse(kept, cache, extractor)

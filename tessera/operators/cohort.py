@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
+from ..functions.runtime import cut
 from ..functions.vocabulary import (
     BUSINESS, COMFORT, EARTH_KM, ECONOMY, FAR_BAND, FAR_KM, FLOOR_DEFAULT, FLOOR_HIGH, FLOOR_LOW, LEAST_COHORT, LEAST_FLOOR, LEAST_SEGMENT_POOL, NEAR_KM,
 )
@@ -95,7 +96,7 @@ def _key_level(targets: DataFrame, pool: DataFrame, keys: list[str]) -> DataFram
 
 
 def left_out(v: Column, n: Column, stats: Column, i: int) -> Column:
-    """Inclusive quartile i (0 or 1) of n values without v, from six order statistics of all n."""
+    """Inclusive quartile i (0 or 1) of n values without v, from six order statistics of all n. A cleaned pool has an id once, so one value goes."""
     a = [F.get(stats, F.lit(3 * i + k)) for k in range(3)]
     at = F.lit((0.25, 0.75)[i]) * (n - 2)
     low = F.when(v > a[0], a[0]).otherwise(a[1])
@@ -137,14 +138,14 @@ def target_segments(targets: DataFrame, pool: DataFrame, keys: list[str], name:
 
 def ladder(targets: DataFrame, pool: DataFrame) -> DataFrame:
     """(_tid, level, STATS) for targets; pool: usable rows with _segment. Targets without any comparable are left out."""
-    t = target_segments(targets.select(*TARGET), pool, ["_finish"], "_segment")
+    t = cut(target_segments(targets.select(*TARGET), pool, ["_finish"], "_segment"))
     on_street = pool.where("trim(street) <> ''")
     at = lambda rows, level, least: rows.where(F.col("size") >= least).select("_tid", F.lit(level).alias("level"), *STATS)
     same = at(_key_level(t, pool, ["_finish", "_rooms", "_complex"]), "1-2", LEAST_COHORT)
     same = same.unionByName(at(_key_level(t, on_street, ["_finish", "_rooms", "street", "_segment"]), "3", LEAST_COHORT))
     # only what these leave is paired by distance, once for both radii
     left = t.join(same.select("_tid"), "_tid", "left_anti")
-    pairs = within(left, pool, FAR_KM)
+    pairs = cut(within(left, pool, FAR_KM).select("_tid", "_rooms", "km", "p_price", "p_extreme"))
     near = at(_pair_stats(pairs.where(F.col("km") <= NEAR_KM)), "4", LEAST_COHORT)
     medians = city_medians(pool).where("city_median <> 0")
     band = F.col("p_price").between(F.col("city_median") * (1 - FAR_BAND), F.col("city_median") * (1 + FAR_BAND))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.columns import clamp, decimal_round, percent, truth
+from ..functions.runtime import cut
 from .cohort import STATS, floor_factor, ladder, statistics, target_segments, with_segments
 from .features import enrich, quality_score, warnings
 
@@ -71,13 +72,14 @@ _SIGNATURE = ["_id", "_price_m2", "_rooms", "_finish", "_complex", "street", "_l
 
 
 def prepared(targets: DataFrame, pool: DataFrame, recompute_price_m2: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Enriched targets with _tid and _self, and the usable pool with _segment."""
+    """Enriched targets with _tid and _self, and the usable pool with _segment. Both are kept: every level of the ladder reads them."""
     ident = F.coalesce(F.trim(F.col("id").cast("string")), F.lit(""))
-    usable = with_segments(enrich(pool, recompute_price_m2).where("not _excluded").withColumn("_id", ident))
+    own = ["_id", "street", "_price_m2", "_rooms", "_finish", "_complex", "_lat", "_lon", "_extreme"]
+    usable = cut(with_segments(cut(enrich(pool, recompute_price_m2).where("not _excluded").withColumn("_id", ident).select(*own))))
     t = enrich(targets, recompute_price_m2).withColumn("_id", ident)
     t = t.withColumn("_tid", F.md5(F.to_json(F.struct(*_SIGNATURE))))
     inside = usable.select("_id").distinct().withColumn("_self", F.lit(True))
-    return t.join(inside, "_id", "left").withColumn("_self", F.coalesce("_self", F.lit(False))), usable
+    return cut(t.join(inside, "_id", "left").withColumn("_self", F.coalesce("_self", F.lit(False)))), usable
 
 
 def score(targets: DataFrame, pool: DataFrame, strict: bool = False, recompute_price_m2: bool = False) -> DataFrame:
@@ -87,7 +89,7 @@ def score(targets: DataFrame, pool: DataFrame, strict: bool = False, recompute_p
     t, usable = prepared(targets, pool, recompute_price_m2)
     kept = t.where("_price_m2 is not null" + (" and not _excluded" if strict else ""))
     one = kept.dropDuplicates(["_tid"])
-    found = ladder(one, usable)
+    found = cut(ladder(one, usable))
     wide = statistics(usable, ["_finish", "_rooms"]).select("_finish", "_rooms", *(F.col(c).alias(f"w_{c}") for c in ("n_extreme", "m_extreme", "n_normal", "m_normal")))
     whole = target_segments(one, usable, [], "price_segment").select("_tid", "price_segment")
     rows = t.join(found, "_tid", "left").join(wide, ["_finish", "_rooms"], "left").join(whole, "_tid", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import truth
+from ..functions.runtime import cut
 from ..functions.vocabulary import BUSINESS, COMFORT, ECONOMY, FAR_BAND, FAR_KM, LEAST_COHORT, NEAR_KM
 from .cohort import STATS, _key_level, _pair_stats, city_medians, statistics, within
 from .features import enrich
@@ -32,11 +33,12 @@ def with_segments(pool: DataFrame) -> DataFrame:
 def score(targets: DataFrame, pool: DataFrame) -> DataFrame:
     """targets with status, cohort_level, cohort_size, confidence_weight, base_price_m2, base_price_m2_corrected and diff_pct."""
     ident = F.coalesce(F.trim(F.col("id").cast("string")), F.lit(""))
-    usable = with_segments(enrich(pool, old=True).where("not _excluded").withColumn("_id", ident))
+    usable = cut(with_segments(cut(enrich(pool, old=True).where("not _excluded").withColumn("_id", ident))))
     t = enrich(targets, old=True).withColumn("_id", ident)
     t = t.withColumn("_tid", F.md5(F.to_json(F.struct("_id", "_price_m2", "_rooms", "_finish", "_complex", "street", "_lat", "_lon"))))
     known = usable.groupBy("_id").agg(F.max("_segment").alias("price_segment"))
     t = t.join(known, "_id", "left").withColumn("_self", F.col("price_segment").isNotNull())
+    t = cut(t)
     one = t.where("not _excluded and _price_m2 is not null").dropDuplicates(["_tid"])
     at = lambda rows, level, least: rows.where(F.col("size") >= least).select("_tid", F.lit(level).alias("level"), *STATS)
     same = at(_key_level(one, usable, ["_finish", "_rooms", "_complex"]), "1-2", LEAST_COHORT)
@@ -44,7 +46,7 @@ def score(targets: DataFrame, pool: DataFrame) -> DataFrame:
     streets = one.where("price_segment is not null and street <> ''").withColumn("_segment", F.col("price_segment"))
     same = same.unionByName(at(_key_level(streets, usable, ["_finish", "_rooms", "street", "_segment"]), "3", LEAST_COHORT))
     left = one.join(same.select("_tid"), "_tid", "left_anti")
-    pairs = within(left, usable, FAR_KM)
+    pairs = cut(within(left, usable, FAR_KM).select("_tid", "_rooms", "km", "p_price", "p_extreme"))
     near = at(_pair_stats(pairs.where(F.col("km") <= NEAR_KM)), "4", LEAST_COHORT)
     band = F.col("p_price").between(F.col("city_median") * (1 - FAR_BAND), F.col("city_median") * (1 + FAR_BAND))
     far = at(_pair_stats(pairs.join(city_medians(usable).where("city_median <> 0"), "_rooms").where(band)), "5", LEAST_COHORT)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import vocabulary as V
+from ..functions.runtime import folder as new_folder
 from ..operators import baseline, changes, cleaning, cohort, dedup, extraction, features, notify, sanity, scoring
 from ..sources import pages as P
 from ..streaming import cycle, registry
@@ -172,7 +173,8 @@ def q_verdict_hist(spark, folder):
 
 def q_score_self(spark, folder):
     """The pool's own rows scored against it, each without itself."""
-    rows = listings(spark, folder).where("l_orderkey % 10 = 1")
+    rows = pool(listings(spark, folder))
+    rows = cleaning.freshest(rows, F.col("id"), [F.col(c) for c in ORDER], ("scraped_at", "added_at")).where("_rank = 1").drop("_rank")
     return scoring.score(rows.where("l_orderkey % 100 = 1"), rows, strict=True).select(*_ROW, "status", "cohort_level", F.col("cohort_size").cast("long").alias("cohort_size"), "price_segment", F.round("diff_pct", 6).alias("diff_pct"))
 
 
@@ -297,19 +299,18 @@ def q_baseline(spark, folder):
 
 def q_stream_registry(spark, folder):
     """The registry as a stream over the events, one query with a keyed state."""
-    out = _folder(spark, "stream-registry")
+    out = new_folder(spark, "stream-registry")
     schema = table(spark, folder, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    rows = events.select(F.col("user_id").cast("string").alias("id"), F.col("value").alias("price"), F.struct("ts", "event_id").alias("o"), "event_id")
-    rows = rows.select("id", "price", (F.unix_micros("o.ts") * 1.0).alias("t"), "event_id").withColumn("ordinal", F.col("t") * 1000 + F.col("event_id") % 1000).drop("t")
-    query = registry.sent(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    rows = events.select(F.col("user_id").cast("string").alias("id"), F.col("value").alias("price"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    query = registry.sent(rows, ["t", "event_id"]).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("id", "price", "event_id")
 
 
 def q_stream_diff(spark, folder):
     """Two snapshots of the events through a stream; what the second reports."""
-    out = _folder(spark, "stream-diff")
+    out = new_folder(spark, "stream-diff")
     for n, part in enumerate(_states(spark, folder)):
         part.withColumn("snapshot", F.lit(n)).write.parquet(f"{out}/in/{n}")
     schema = spark.read.parquet(f"{out}/in/0").schema
@@ -319,14 +320,4 @@ def q_stream_diff(spark, folder):
     return spark.read.parquet(f"{out}/changes").select("id", "price", "reason", "old_price")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the whole cluster sees."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{context._jvm.java.util.UUID.randomUUID().toString()}"
-
-
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -63,7 +63,9 @@ s AS (SELECT *, CASE WHEN pm2 IS NULL THEN 'insufficient_numeric_data' {"WHEN ex
 
 
 _SCORE = _ladder("l_orderkey % 10 = 1", "l_orderkey % 100 = 0", False)
-_SELF = _ladder("l_orderkey % 10 = 1", "l_orderkey % 100 = 1", True)
+# the pool that is scored against itself has one row for each id
+_ONCE = f"l AS (SELECT * FROM ({LISTINGS}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC NULLS LAST, {TIE}) = 1)"
+_SELF = _ladder("l_orderkey % 10 = 1", "l_orderkey % 100 = 1", True).replace(L, _ONCE)
 _LEVEL = "CASE status WHEN 'scored' THEN level WHEN 'no_comparables' THEN 'none' END AS cohort_level, CASE status WHEN 'scored' THEN size WHEN 'no_comparables' THEN 0 END::BIGINT AS cohort_size"
 _VERDICT = f"CASE WHEN status <> 'scored' THEN '{V.TOO_LITTLE}' WHEN requires_manual_review = 'True' THEN '{V.BY_HAND}' WHEN diff >= lo THEN '{V.FIND}' WHEN diff <= hi THEN '{V.OVERPRICED}' ELSE '{V.FAIR}' END AS verdict"
 

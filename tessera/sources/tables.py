@@ -23,7 +23,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def _header(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).limit(1).collect()
-    return first[0][0].lstrip("﻿").rstrip("\r") if first else ""
+    return first[0][0].lstrip("\ufeff").rstrip("\r") if first else ""
 
 
 def separator(header: str) -> str:

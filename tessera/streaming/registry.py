@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def sent(candidates: DataFrame) -> DataFrame:
-    """A stream (id, price, ordinal, ...) to the rows that are new or cheaper than any before of their id, by ordinal within a batch.
+def sent(candidates: DataFrame, order: list[str]) -> DataFrame:
+    """A stream (id, price, ...) to the rows that are new or cheaper than any before of their id; order tells which come first within a batch.
 
     The state of an id is one number, the lowest price sent. It is kept for ever, as the registry is; streams of several sources are
     unioned first, so that no lock is needed."""
@@ -18,7 +18,7 @@ def sent(candidates: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         least = state.get[0] if state.exists else float("inf")
-        rows = pd.concat(list(batches)).sort_values("ordinal", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         rows = rows[rows["price"].notna()]
         before = rows["price"].cummin().shift(fill_value=float("inf")).clip(upper=least)
         out = rows[rows["price"] < before]
