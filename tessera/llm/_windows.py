@@ -10,6 +10,8 @@ window can only repeat where its anchor does. Consecutive windows with one ancho
    throughout. A first run is settled too, unless other runs share its anchor.
 3. Only for those left, ``contexts`` takes their tokens from the texts, and a solver, one anchor at a
    time, tells which windows repeat. A group holds distinct runs only: copies have gone in step 2.
+4. An anchor with more than ``MOST`` distinct runs is not gathered. Its runs go window by window, keyed by the hash of
+   the whole window and merged within a task first, so they spread over all tasks and stream.
 
 Documents are ordered by doc_id, a null first. Rows with one doc_id and the same text count as one
 document; rows with one doc_id and other texts are ordered by place in the text alone.
@@ -35,6 +37,8 @@ RUNS = "a long, c long, did long, v long"
 SPANS = "did long, v long"
 PLACE = (1 << 32) - 1
 LOCAL = -(1 << 63)
+#: Distinct runs of one anchor that are solved together, and the bit of v that marks runs of anchors with more.
+MOST, HOT = 10_000, 1 << 15
 _MASK = np.uint64((1 << 22) - 1)
 
 
@@ -128,51 +132,66 @@ def _wide(tokens: np.ndarray) -> np.ndarray:
     return BYTES[tokens] if tokens.itemsize == 1 else tokens
 
 
-def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of a, c, did, v. Gives (did, v, open): open 0 for runs that repeat throughout, 1 for first runs whose anchor other runs share. Keeps one row between batches."""
+def resolving(most: int) -> Callable:
+    """Rows in order of a, c, did, v. Gives (did, v, open): open 0 for runs that repeat throughout, 1 for first runs whose anchor other runs share, with HOT in v if there are over ``most``.
 
-    def out(did: np.ndarray, v: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(did), pa.array(v), pa.array(opened.astype(np.int32))], names=["did", "v", "open"])
+    Between batches it keeps the first runs of the last anchor, ``most`` at the most."""
 
-    last = head = held = None  # (a, c) of the last row, (did, v) of its first run, a first run not yet settled
-    for batch in batches:
-        a, c, did, v = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-        local = v < 0
-        if local.any():
-            yield out(did[local], v[local] & ~LOCAL, np.zeros(int(local.sum())))
-            a, c, did, v = a[~local], c[~local], did[~local], v[~local]
-        n = len(a)
-        if not n:
-            continue
-        group, run = np.ones(n, bool), np.ones(n, bool)
-        group[1:] = a[1:] != a[:-1]
-        run[1:] = group[1:] | (c[1:] != c[:-1])
-        if last is not None:
-            group[0] = a[0] != last[0]
-            run[0] = group[0] or c[0] != last[1]
-        at = np.maximum.accumulate(np.where(run, np.arange(n), -1))
-        hd, hv = did[at], v[at]
-        if head is not None:
-            hd, hv = np.where(at < 0, head[0], hd), np.where(at < 0, head[1], hv)
-        number = np.cumsum(group)
-        shared = np.zeros(int(number[-1]) + 1, bool)
-        shared[number[run & ~group]] = True
-        if held is not None and shared[0] and not group[0]:
-            yield out(np.array([held[0]], np.int64), np.array([held[1]], np.int64), np.ones(1))
-            held = None
-        if number[-1]:
-            held = None
-        again = ~run & ((did != hd) | (v != hv))
-        opened = run & (shared[number] | ~group)
-        yield out(did[again | opened], v[again | opened], opened[again | opened])
-        heads = np.flatnonzero(group)
-        if len(heads) and not shared[number[-1]]:
-            held = (did[heads[-1]], v[heads[-1]])
-        last, head = (a[-1], c[-1]), (hd[-1], hv[-1])
+    def out(did: np.ndarray, v: np.ndarray, opened: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(did), pa.array(v), pa.array(np.full(len(did), opened, np.int32))], names=["did", "v", "open"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        last = head = None  # (a, c) of the last row, (did, v) of the first row of its run
+        held_did, held_v, hot = none, none, False  # first runs of the last anchor, or that it has too many
+        for batch in batches:
+            a, c, did, v = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            local = v < 0
+            if local.any():
+                yield out(did[local], v[local] & ~LOCAL, 0)
+                a, c, did, v = a[~local], c[~local], did[~local], v[~local]
+            n = len(a)
+            if not n:
+                continue
+            group, first = np.ones(n, bool), np.ones(n, bool)
+            group[1:] = a[1:] != a[:-1]
+            first[1:] = group[1:] | (c[1:] != c[:-1])
+            if last is not None:
+                group[0] = a[0] != last[0]
+                first[0] = group[0] or c[0] != last[1]
+            at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+            hd, hv = did[at], v[at]
+            if head is not None:
+                hd, hv = np.where(at < 0, head[0], hd), np.where(at < 0, head[1], hv)
+            again = ~first & ((did != hd) | (v != hv))
+            yield out(did[again], v[again], 0)
+            last, head = (a[-1], c[-1]), (hd[-1], hv[-1])
+            # first runs with those held before them; group 0 is the one that goes on
+            number = np.r_[np.zeros(len(held_did), np.int64), np.cumsum(group)[first]]
+            d, w = np.r_[held_did, did[first]], np.r_[held_v, v[first]]
+            ends = int(np.cumsum(group)[-1])
+            count = np.bincount(number, minlength=ends + 1)
+            many = count > most
+            many[0] |= hot
+            settled = (number < ends) | many[number]
+            several = settled & (many | (count > 1))[number]
+            yield out(d[several], np.where(many[number[several]], w[several] | HOT, w[several]), 1)
+            held_did, held_v, hot = d[~settled], w[~settled], bool(many[ends])
+        if len(held_did) > 1:
+            yield out(held_did, held_v, 1)
+
+    return run
+
+
+AROUND = "a long, did long, v long, tokens binary, k int"
 
 
 def contexts(tokenise: Callable, length: int, seed: int) -> Callable:
-    """Of (did, body, vs) the open runs' tokens: (a, did, v, tokens)."""
+    """Of (did, body, vs) the open runs, as rows AROUND: k 0 with the run's tokens; of hot runs, k 1 for each window, with its hash in a and its digest as tokens, or k 2 for windows in a row that repeat others in the batch."""
+
+    def rows(a, did, v, tokens, k) -> pa.RecordBatch:
+        columns = [pa.array(a), pa.array(did), pa.array(v), pa.array(tokens, pa.binary()), pa.array(np.asarray(k, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "did", "v", "tokens", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,14 +201,34 @@ def contexts(tokenise: Callable, length: int, seed: int) -> Callable:
             for lo, hi, buf, offsets in unpacked(batch, 1):
                 tokens, at = tokenise(buf, offsets)
                 v = flat[ends[lo] : ends[hi]]
-                doc = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
-                s, o, n = at[doc] + (v >> 16 & PLACE), v >> 8 & 255, v & 255
+                own = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
+                place, o, n = v >> 16 & PLACE, v >> 8 & 127, v & 255
+                s = at[own - lo] + place
                 size, raw = tokens.itemsize, np.ascontiguousarray(tokens).tobytes()
-                a = _seeds(tokens, s + o, seed)
-                for x in range(0, len(v), 4096):
-                    y = slice(x, x + 4096)
-                    text = [raw[i:j] for i, j in zip((s[y] * size).tolist(), ((s[y] + n[y] + length - 1) * size).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([signed(a[y]), pa.array(did[lo:hi][doc[y]]), pa.array(v[y]), pa.array(text, pa.binary())], names=["a", "did", "v", "tokens"])
+                cool, hot = np.flatnonzero(v & HOT == 0), np.flatnonzero(v & HOT)
+                a = _seeds(tokens, (s + o)[cool], seed).view(np.int64)
+                for x in range(0, len(cool), 4096):
+                    i = cool[x : x + 4096]
+                    text = [raw[p:q] for p, q in zip((s[i] * size).tolist(), ((s[i] + n[i] + length - 1) * size).tolist(), strict=True)]
+                    yield rows(a[x : x + 4096], did[own[i]], v[i], text, np.zeros(len(i)))
+                for x in range(0, len(hot), 1024):
+                    i = np.repeat(hot[x : x + 1024], n[hot[x : x + 1024]])
+                    step = ranges(np.zeros(len(hot[x : x + 1024]), np.int64), n[hot[x : x + 1024]])
+                    begin = (s[i] + step) * size
+                    digest = [xxhash.xxh3_128_digest(raw[p : p + length * size]) for p in begin.tolist()]
+                    d, w = did[own[i]], v[i] >> 48 << 48 | (place[i] + step) << 16 | 1
+                    seen: dict[bytes, tuple] = {}
+                    for key, x_did, x_v in zip(digest, d.tolist(), (w & (1 << 48) - 1).tolist(), strict=True):
+                        seen[key] = min(seen.get(key, (x_did, x_v)), (x_did, x_v))
+                    later = np.array([seen[key] != pair for key, pair in zip(digest, zip(d.tolist(), (w & (1 << 48) - 1).tolist(), strict=True), strict=True)], bool)
+                    h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)[:, 0]
+                    fresh, repeated = np.flatnonzero(~later), np.flatnonzero(later)
+                    yield rows(h[fresh], d[fresh], w[fresh], [digest[j] for j in fresh.tolist()], np.ones(len(fresh)))
+                    if len(repeated):
+                        # windows in a row are one span
+                        heads = repeated[np.r_[True, (np.diff(repeated) > 1) | (i[repeated[1:]] != i[repeated[:-1]])]]
+                        many = np.diff(np.r_[np.searchsorted(repeated, heads), len(repeated)])
+                        yield rows(h[heads], d[heads], w[heads] - 1 + many, [b""] * len(heads), np.full(len(heads), 2))
 
     return run
 
@@ -212,6 +251,21 @@ def solving(solve: Callable, length: int, kind: str, limit: int = 12_000) -> Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
+        now, firsts = None, {}  # the hash of the last window, and the first place of each digest with it
+
+        def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Windows in order of their hash, document and place: all but the first of equal ones repeat."""
+            nonlocal now, firsts
+            keep = []
+            for a, d, v, digest, k in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if k == 2:
+                    keep.append(True)
+                    continue
+                if a != now:
+                    now, firsts = a, {}
+                place = v >> 16 & PLACE
+                keep.append(firsts.setdefault(digest, (d, place)) != (d, place))
+            return batch.select(["did", "v"]).filter(pa.array(keep, pa.bool_()))
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
             a, did, v = (rows.column(i).to_numpy() for i in range(3))
@@ -221,7 +275,7 @@ def solving(solve: Callable, length: int, kind: str, limit: int = 12_000) -> Cal
             flat = np.frombuffer(data, np.uint8)[: at[-1]]
             size = np.dtype(kind).itemsize
             flat, at = np.frombuffer(flat[at[0] :].tobytes(), kind), (at - at[0]) // size
-            s, o, n = v >> 16 & PLACE, v >> 8 & 255, v & 255
+            s, o, n = v >> 16 & PLACE, v >> 8 & 127, v & 255
             group = np.cumsum(np.r_[0, a[1:] != a[:-1]])
             dup = solve(flat, at[:-1], group, o, n, did, s + o)  # (runs, offsets)
             # windows in order of their start have falling offsets
@@ -235,6 +289,13 @@ def solving(solve: Callable, length: int, kind: str, limit: int = 12_000) -> Cal
         for batch in batches:
             if not batch.num_rows:
                 continue
+            k = batch.column(4).to_numpy()
+            if k[-1]:
+                cold = int(np.searchsorted(k, 1))
+                yield windows(batch.slice(cold))
+                batch = batch.slice(0, cold)
+                if not cold:
+                    continue
             held.append(batch)
             count += batch.num_rows
             if count < limit:
@@ -252,17 +313,17 @@ def solving(solve: Callable, length: int, kind: str, limit: int = 12_000) -> Cal
     return run
 
 
-def repeats(docs: DataFrame, tokenise: Callable, solve: Callable, length: int, seed: int, kind: str) -> DataFrame:
+def repeats(docs: DataFrame, tokenise: Callable, solve: Callable, length: int, seed: int, kind: str, most: int = MOST) -> DataFrame:
     """(did, v) of windows of keyed(documents) that also start earlier, v as in SPANS."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = lambda: docs.select("did", "fp", "text").mapInArrow(scan(tokenise, length, seed), RUNS).repartition(n, "a").sortWithinPartitions("a", "c", "did", "v")
-    settled = cut(parted().mapInArrow(resolve, f"{SPANS}, open int"))
+    settled = cut(parted().mapInArrow(resolving(most), f"{SPANS}, open int"))
 
     def solved() -> DataFrame:
         left = settled.where("open = 1").groupBy("did", _text("v")).agg(F.collect_list("v").alias("vs"))
         taken = packed(docs.select("did", "fp", "text")).join(left, ["did", "fp"]).select("did", "body", "vs")
-        around = taken.mapInArrow(contexts(tokenise, length, seed), "a long, did long, v long, tokens binary")
-        around = around.repartition(n, "a").sortWithinPartitions("a")
+        around = taken.mapInArrow(contexts(tokenise, length, seed), AROUND)
+        around = around.repartition(n, "a").sortWithinPartitions("k", "a", "did", F.col("v").bitwiseAND((1 << 48) - 1))
         closed = settled.where("open = 0").select("did", F.col("v").bitwiseAND(~(255 << 8)).alias("v"))
         return around.mapInArrow(solving(solve, length, kind), SPANS).union(closed)
 

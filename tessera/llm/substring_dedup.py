@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ._batch import BASE, mix, words
-from ._windows import keyed, marked, ranges, removed, repeats
+from ._windows import MOST, keyed, marked, ranges, removed, repeats
 
 LENGTH, SEED = 20, 5
 
@@ -88,13 +88,13 @@ def solver(length: int, seed: int):
     return solve
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED, most: int = MOST) -> DataFrame:
     """Each document without the words of any window of ``length`` words that also starts earlier.
 
     Returns doc_id, n_words, n_removed, kept_sha256, kept (the remaining words joined by one space, UTF-8) and
     spans (array of [start, end) word positions)."""
     docs = keyed(documents)
-    spans = repeats(docs, tokenise, solver(length, seed), length, seed, "u8")
+    spans = repeats(docs, tokenise, solver(length, seed), length, seed, "u8", most)
 
     def finish(text, firsts, counts):
         every = text.tobytes().split()

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ._batch import BASE, ranges
-from ._windows import keyed, marked, removed, repeats
+from ._windows import MOST, keyed, marked, removed, repeats
 
 LENGTH, SEED = 100, 24
 
@@ -136,13 +136,13 @@ def solver(length: int, seed: int):
     return solve
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED, most: int = MOST) -> DataFrame:
     """Each document without the bytes of any ``length``-byte string that also starts earlier.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the remaining bytes) and
     spans (array of [start, end) byte positions)."""
     docs = keyed(documents)
-    spans = repeats(docs, tokenise, solver(length, seed), length, seed, "u1")
+    spans = repeats(docs, tokenise, solver(length, seed), length, seed, "u1", most)
 
     def finish(text, firsts, counts):
         gone = removed(firsts, counts, length, len(text))

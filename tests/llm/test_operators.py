@@ -69,6 +69,8 @@ def test_suffix_dedup(docs, none):
         assert (row.n_bytes, row.n_removed, row.n_spans, bytes(row.kept)) == want[row.doc_id]
         assert row.kept_sha256 == hashlib.sha256(row.kept).hexdigest()
     assert suffix_dedup.remove_repeats(none).count() == 0
+    for most in (1, 2):  # anchors with more runs go window by window
+        assert sorted(map(str, suffix_dedup.remove_repeats(docs, most=most).collect())) == sorted(map(str, got))
 
 
 def test_suffix_order_survives_hash_collisions():
@@ -118,6 +120,8 @@ def test_substring_dedup(docs, none):
     for row in got:
         assert (row.n_words, row.n_removed, bytes(row.kept)) == want[row.doc_id]
     assert substring_dedup.remove_repeats(none).count() == 0
+    for most in (1, 2):
+        assert sorted(map(str, substring_dedup.remove_repeats(docs, most=most).collect())) == sorted(map(str, got))
 
 
 def test_near_dedup(docs, none):
