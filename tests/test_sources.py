@@ -11,9 +11,11 @@ from tessera.sources import pages, sinks, tables
 
 def test_csv_with_repair(spark, tmp_path):
     p = tmp_path / "a.csv"
-    p.write_text('﻿complex_id;price;complex_id;note\n1;10;c;"two\nlines; ""q"""\n', encoding="utf-8")
+    p.write_text('\ufeffcomplex_id,price,complex_id,note\n1,10,c,"two\nlines, ""q"""\n', encoding="utf-8")
     got = tables.csv(spark, str(p), repair=True).collect()
-    assert [tuple(r) for r in got] == [("1", "10", "c", 'two\nlines; "q"')]
+    assert [tuple(r) for r in got] == [("1", "10", "c", 'two\nlines, "q"')]
+    (tmp_path / "c.csv").write_text("\ufeffid;price\n1;2\n", encoding="utf-8")
+    assert tables.csv(spark, str(tmp_path / "c.csv"), repair=True).first()[:] == ("1", "2")
     (tmp_path / "b.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError):
         tables.csv(spark, str(tmp_path / "b.csv"), repair=True)
