@@ -28,38 +28,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batch import longs, utf8
+from ._batch import longs, parts, utf8
 
 SPACES = b" \t\n\r\x0b\x0c"
 NULL = -(1 << 63)
 #: Bytes of different texts that one table may hold.
 TABLE_BYTES = 64 << 20
 FAN = 16
+#: Bytes of text that are merged before they are dealt out.
+DEAL_BYTES = 4 << 20
 
 
 def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to a row for each different text of a few megabytes of them."""
     for batch in batches:
         buf, offsets = utf8(batch.column(1))
-        did, raw = longs(batch.column(0), NULL), buf.tobytes()
-        points = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)][offsets]
-        points = np.diff(points).tolist()
-        groups: dict[bytes, tuple[bytes, list[int], list[int]]] = {}
-        for i, doc in enumerate(did.tolist()):
-            text = raw[offsets[i] : offsets[i + 1]].translate(None, SPACES)
-            key = hashlib.sha256(text).digest()
-            _, ids, lengths = groups.setdefault(key, (text, [], []))
-            ids.append(doc)
-            lengths.append(points[i])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([int.from_bytes(k[:8], "little", signed=True) for k in groups], pa.int64()),
-                pa.array(list(groups), pa.binary()),
-                pa.array([zlib.compress(x[0], 1) for x in groups.values()], pa.binary()),
-                pa.array([x[1] for x in groups.values()], pa.list_(pa.int64())),
-                pa.array([x[2] for x in groups.values()], pa.list_(pa.int64())),
-            ],
-            names=["h", "sha", "body", "ids", "points"],
-        )
+        did = longs(batch.column(0), NULL)
+        for lo, hi in parts(offsets, DEAL_BYTES):
+            part, at = buf[offsets[lo] : offsets[hi]], (offsets[lo : hi + 1] - offsets[lo]).tolist()
+            starts = np.zeros(len(part) + 1, np.int32)
+            np.cumsum((part & 0xC0) != 0x80, dtype=np.int32, out=starts[1:])
+            points, raw = np.diff(starts[at]).tolist(), memoryview(np.ascontiguousarray(part))
+            groups: dict[bytes, tuple[bytes, list[int], list[int]]] = {}
+            for i, doc in enumerate(did[lo:hi].tolist()):
+                text = raw[at[i] : at[i + 1]].tobytes().translate(None, SPACES)
+                key = hashlib.sha256(text).digest()
+                if key not in groups:
+                    groups[key] = zlib.compress(text, 1), [], []
+                _, ids, lengths = groups[key]
+                ids.append(doc)
+                lengths.append(points[i])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int.from_bytes(k[:8], "little", signed=True) for k in groups], pa.int64()),
+                    pa.array(list(groups), pa.binary()),
+                    pa.array([x[0] for x in groups.values()], pa.binary()),
+                    pa.array([x[1] for x in groups.values()], pa.list_(pa.int64())),
+                    pa.array([x[2] for x in groups.values()], pa.list_(pa.int64())),
+                ],
+                names=["h", "sha", "body", "ids", "points"],
+            )
 
 
 class Table:
