@@ -35,3 +35,17 @@ def test_runs_like_duckdb(spark, name):
     r = con.sql(catalogue.SQL[name])
     order = [r.columns.index(c) for c in df.columns]
     assert sorted(str(tuple(x)) for x in got) == sorted(str(tuple(x[i] for i in order)) for x in r.fetchall())
+
+
+def test_a_batch_is_sent_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.plans.listings import ORDER, listings, pool, targets
+    from tessera.streaming.cycle import process
+
+    rows = listings(spark, DATA)
+    sent, journal, registry, _ = process(targets(rows), "fast", "new", None, pool(rows), None, ORDER, "now")
+    registry = spark.createDataFrame(registry.collect(), registry.schema)
+    assert sent.count() == journal.count() == registry.count() > 0
+    again, _, after, _ = process(targets(rows), "fast", "new", None, pool(rows), registry, ORDER, "later")
+    assert again.count() == 0 and after.where(F.col("sent_at") != "now").count() == 0
