@@ -150,8 +150,10 @@ def ladder(targets: DataFrame, pool: DataFrame) -> DataFrame:
     medians = city_medians(pool).where("city_median <> 0")
     band = F.col("p_price").between(F.col("city_median") * (1 - FAR_BAND), F.col("city_median") * (1 + FAR_BAND))
     far = at(_pair_stats(pairs.join(medians, "_rooms").where(band)), "5", LEAST_COHORT)
-    last = at(_key_level(t, pool, ["_finish", "_rooms"]), "6", 1)
-    every = same.unionByName(near).unionByName(far).unionByName(last)
+    # a target that is in the pool meets all rows of its finish and rooms here, so only those without another level come this far
+    earlier = cut(same.unionByName(near).unionByName(far))
+    last = at(_key_level(t.join(earlier.select("_tid"), "_tid", "left_anti"), pool, ["_finish", "_rooms"]), "6", 1)
+    every = earlier.unionByName(last)
     # the levels' names sort in the ladder's order
     best = F.min_by(F.struct("level", *STATS), F.col("level")).alias("best")
     return every.groupBy("_tid").agg(best).select("_tid", "best.*")

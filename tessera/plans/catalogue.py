@@ -172,10 +172,9 @@ def q_verdict_hist(spark, folder):
 
 
 def q_score_self(spark, folder):
-    """The pool's own rows scored against it, each without itself."""
-    rows = pool(listings(spark, folder))
-    rows = cleaning.freshest(rows, F.col("id"), [F.col(c) for c in ORDER], ("scraped_at", "added_at")).where("_rank = 1").drop("_rank")
-    return scoring.score(rows.where("l_orderkey % 100 = 1"), rows, strict=True).select(*_ROW, "status", "cohort_level", F.col("cohort_size").cast("long").alias("cohort_size"), "price_segment", F.round("diff_pct", 6).alias("diff_pct"))
+    """Targets that are in the pool themselves, each scored against all ids but its own."""
+    rows = cleaning.freshest(listings(spark, folder), F.col("id"), [F.col(c) for c in ORDER], ("scraped_at", "added_at")).where("_rank = 1").drop("_rank")
+    return scoring.score(targets(rows), rows, strict=True).select(*_ROW, "status", "cohort_level", F.col("cohort_size").cast("long").alias("cohort_size"), "price_segment", F.round("diff_pct", 6).alias("diff_pct"))
 
 
 def q_overlay_join(spark, folder):
@@ -272,7 +271,7 @@ def q_llm_cache_join(spark, folder):
 
 def q_red_flags(spark, folder):
     """Extraction by keywords, validated, and the severe ones."""
-    rows = listings(spark, folder).where("l_orderkey % 50 = 0").withColumn("full_description", F.when(F.col("l_partkey") % 3 == 0, "после залив, чистовая").when(F.col("l_partkey") % 3 == 1, "требует капремонта").otherwise("тихий двор"))
+    rows = listings(spark, folder).withColumn("full_description", F.when(F.col("l_partkey") % 3 == 0, "после залив, чистовая").when(F.col("l_partkey") % 3 == 1, "требует капремонта").otherwise("тихий двор"))
     cache = spark.createDataFrame([], f"cache_key string, text_hash string, result {extraction.RESULT}")
     out, _ = extraction.analyse(rows.withColumn("rent_renovation", F.lit(None).cast("string")).withColumn("suited_for", F.lit("")).withColumn("id", F.lit("")), cache, extraction.keyword_answer)
     return extraction.exclude_flagged(out).select(*_ROW, "finish_type", "red_flags", F.col("drop_reason").isNotNull().alias("excluded"))

@@ -27,10 +27,14 @@ w AS (SELECT *, list_filter([CASE WHEN pm2 IS NULL THEN 'нет_price_m2' END, C
 def _ladder(pool: str, targets: str, own: bool) -> str:
     """Rows of targets with level, size, median, mad and floor numbers by pairs. own: targets may be in the pool."""
     other = "AND p.id <> t.id" if own else ""
-    edges = (
-        f"te AS (SELECT t.tid, count(p.pm2) AS n, quantile_cont(p.pm2, 0.25) AS a, quantile_cont(p.pm2, 0.75) AS b FROM t LEFT JOIN pool p ON p.finish = t.finish {other} GROUP BY t.tid),\n"
-        f"ta AS (SELECT t.tid, count(p.pm2) AS n, quantile_cont(p.pm2, 0.25) AS a, quantile_cont(p.pm2, 0.75) AS b FROM t LEFT JOIN pool p ON {'p.id <> t.id' if own else 'true'} GROUP BY t.tid)"
-    )
+    ends = "count(pm2) AS n, quantile_cont(pm2, 0.25) AS a, quantile_cont(pm2, 0.75) AS b"
+    edges = f"fe AS (SELECT finish, {ends} FROM pool GROUP BY finish),\nte AS (SELECT tid, n, a, b FROM t LEFT JOIN fe USING (finish)),\nta AS (SELECT tid, n, a, b FROM t, edge)"
+    if own:
+        ends = ends.replace("pm2", "p.pm2")
+        edges = (
+            f"te AS (SELECT t.tid, {ends} FROM t LEFT JOIN pool p ON p.finish = t.finish AND p.id <> t.id GROUP BY t.tid),\n"
+            f"ta AS (SELECT t.tid, {ends} FROM t LEFT JOIN pool p ON p.id <> t.id GROUP BY t.tid)"
+        )
     seg = lambda x: f"CASE WHEN coalesce({x}.n, 0) < 8 THEN 'комфорт' WHEN t.pm2 <= {x}.a THEN 'эконом' WHEN t.pm2 >= {x}.b THEN 'бизнес' ELSE 'комфорт' END"
     km = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(p.latitude) - radians(t.latitude)) / 2), 2) + cos(radians(t.latitude)) * cos(radians(p.latitude)) * pow(sin((radians(p.longitude) - radians(t.longitude)) / 2), 2))))"
     return f"""{_ENRICH},
@@ -62,10 +66,10 @@ s AS (SELECT *, CASE WHEN pm2 IS NULL THEN 'insufficient_numeric_data' {"WHEN ex
   CASE WHEN conf >= 0.75 THEN 0.1 WHEN conf >= 0.55 THEN 0.13 ELSE 0.18 END::DOUBLE AS lo, CASE WHEN conf >= 0.75 THEN -0.07 WHEN conf >= 0.55 THEN -0.1 ELSE -0.15 END::DOUBLE AS hi FROM m)"""
 
 
-_SCORE = _ladder("l_orderkey % 10 = 1", "l_orderkey % 100 = 0", False)
+_SCORE = _ladder("l_orderkey % 100 <> 0", "l_orderkey % 100 = 0", False)
 # the pool that is scored against itself has one row for each id
 _ONCE = f"l AS (SELECT * FROM ({LISTINGS}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC NULLS LAST, {TIE}) = 1)"
-_SELF = _ladder("l_orderkey % 10 = 1", "l_orderkey % 100 = 1", True).replace(L, _ONCE)
+_SELF = _ladder("true", "l_orderkey % 100 = 0", True).replace(L, _ONCE)
 _LEVEL = "CASE status WHEN 'scored' THEN level WHEN 'no_comparables' THEN 'none' END AS cohort_level, CASE status WHEN 'scored' THEN size WHEN 'no_comparables' THEN 0 END::BIGINT AS cohort_size"
 _VERDICT = f"CASE WHEN status <> 'scored' THEN '{V.TOO_LITTLE}' WHEN requires_manual_review = 'True' THEN '{V.BY_HAND}' WHEN diff >= lo THEN '{V.FIND}' WHEN diff <= hi THEN '{V.OVERPRICED}' ELSE '{V.FAIR}' END AS verdict"
 
@@ -157,7 +161,7 @@ SELECT n.user_id::VARCHAR AS id, value AS price, event_id FROM n LEFT JOIN o USI
     "q_json_props": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "q_llm_cache_join": """WITH r AS (SELECT doc_id, text, quality FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT doc_id, quality, sha256('2' || chr(10) || 'extract' || chr(10) || text) AS hash FROM r)
 SELECT doc_id, hash, CASE WHEN doc_id % 2 = 0 THEN quality END::BIGINT AS result, quality IS NOT NULL AND doc_id % 2 = 0 AS hit FROM n""",
-    "q_red_flags": f"""WITH {L} SELECT {ROW}, CASE WHEN l_partkey % 3 = 0 THEN 'чистовая' END AS finish_type, CASE l_partkey % 3 WHEN 0 THEN '["залив"]' WHEN 1 THEN '["требует_капремонта"]' ELSE '[]' END AS red_flags, l_partkey % 3 = 0 AS excluded FROM l WHERE l_orderkey % 50 = 0""",
+    "q_red_flags": f"""WITH {L} SELECT {ROW}, CASE WHEN l_partkey % 3 = 0 THEN 'чистовая' END AS finish_type, CASE l_partkey % 3 WHEN 0 THEN '["залив"]' WHEN 1 THEN '["требует_капремонта"]' ELSE '[]' END AS red_flags, l_partkey % 3 = 0 AS excluded FROM l""",
     "q_notification_rows": f"""WITH {_SCORE}, v AS (SELECT *, {_VERDICT}, {_LEVEL} FROM s) SELECT id, 'new' AS reason, 'fast_track' AS source, '2026-01-01T00:00:00+00:00' AS sent_at, verdict, cohort_level, cohort_size::VARCHAR AS cohort_size, seller_class, array_to_string(warn, ';') AS data_warnings, '' AS url, title
 FROM v WHERE price > 0 AND (verdict = '{V.FIND}' OR verdict = '{V.BY_HAND}' AND diff >= 0.1)""",
     "q_stream_registry": _REGISTRY,
