@@ -1,10 +1,12 @@
 """Exact dedup by Grace hash partitioning.
 
-Each task merges the equal texts of a batch and deals out one row per different text (compressed, with the
-ids of its copies), so a text that a third of all documents share arrives as one row per batch. The
-receiving task writes its rows to spill files by further bits of the hash, recursively, until a file's
-texts fit an open-addressing table that compares complete contents. A file is read twice: to find each
-group's row to keep, and to give the rows of its members, which are never held together.
+Each task merges the equal texts of a few megabytes and deals out one row per different text (compressed, with
+its best copy and their number), so a text that a third of all documents share arrives as one row of constant
+size per slice. The receiving task writes its rows to spill files by further bits of the hash, recursively, until a
+file's texts fit an open-addressing table that compares complete contents, and gives one row per text. The
+ids meet these rows by the text's digest in a plain join, which the engine splits where many share one; a digest of two
+different contents is an error. Spill files lie in the executor's own scratch folders and die with the task, which
+can be run again anywhere.
 
 Texts are equal when identical after deleting U+0020 and U+0009 to U+000D. Of equal texts the one with the most
 code points stays, then the smallest doc_id (a null before all).
@@ -16,6 +18,7 @@ all of them are kept if that id is; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import pickle
 import shutil
@@ -39,37 +42,47 @@ FAN = 16
 DEAL_BYTES = 4 << 20
 
 
+def sliced(batch: pa.RecordBatch, did: int, text: int) -> Iterator[tuple[dict[bytes, tuple[bytes, list[int]]], list[int], list[int]]]:
+    """The slices of a batch: by digest the normalised text and its places, and the ids and code points of all rows."""
+    buf, offsets = utf8(batch.column(text))
+    ids = longs(batch.column(did), NULL)
+    for lo, hi in parts(offsets, DEAL_BYTES):
+        part, at = buf[offsets[lo] : offsets[hi]], (offsets[lo : hi + 1] - offsets[lo]).tolist()
+        starts = np.zeros(len(part) + 1, np.int32)
+        np.cumsum((part & 0xC0) != 0x80, dtype=np.int32, out=starts[1:])
+        raw = memoryview(np.ascontiguousarray(part))
+        groups: dict[bytes, tuple[bytes, list[int]]] = {}
+        for i in range(hi - lo):
+            normal = raw[at[i] : at[i + 1]].tobytes().translate(None, SPACES)
+            groups.setdefault(hashlib.sha256(normal).digest(), (normal, []))[1].append(i)
+        yield groups, ids[lo:hi].tolist(), np.diff(starts[at]).tolist()
+
+
 def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to a row for each different text of a few megabytes of them."""
+    """(doc_id, text) to a row for each different text of a slice: its best copy (-points, then doc_id) and the number of copies."""
     for batch in batches:
-        buf, offsets = utf8(batch.column(1))
-        did = longs(batch.column(0), NULL)
-        for lo, hi in parts(offsets, DEAL_BYTES):
-            part, at = buf[offsets[lo] : offsets[hi]], (offsets[lo : hi + 1] - offsets[lo]).tolist()
-            starts = np.zeros(len(part) + 1, np.int32)
-            np.cumsum((part & 0xC0) != 0x80, dtype=np.int32, out=starts[1:])
-            points, raw = np.diff(starts[at]).tolist(), memoryview(np.ascontiguousarray(part))
-            groups: dict[bytes, tuple[bytes, list[int], list[int]]] = {}
-            for i, doc in enumerate(did[lo:hi].tolist()):
-                text = raw[at[i] : at[i + 1]].tobytes().translate(None, SPACES)
-                key = hashlib.sha256(text).digest()
-                if key not in groups:
-                    groups[key] = zlib.compress(text, 1), [], []
-                _, ids, lengths = groups[key]
-                ids.append(doc)
-                lengths.append(points[i])
+        for groups, ids, points in sliced(batch, 0, 1):
+            best = [min((-points[i], ids[i]) for i in places) for _, places in groups.values()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([int.from_bytes(k[:8], "little", signed=True) for k in groups], pa.int64()),
                     pa.array(list(groups), pa.binary()),
-                    pa.array([x[0] for x in groups.values()], pa.binary()),
-                    pa.array([x[1] for x in groups.values()], pa.list_(pa.int64())),
-                    pa.array([x[2] for x in groups.values()], pa.list_(pa.int64())),
+                    pa.array([zlib.compress(x[0], 1) for x in groups.values()], pa.binary()),
+                    pa.array([x[0] for x in best], pa.int64()),
+                    pa.array([x[1] for x in best], pa.int64()),
+                    pa.array([len(x[1]) for x in groups.values()], pa.int64()),
                 ],
-                names=["h", "sha", "body", "ids", "points"],
+                names=["h", "sha", "body", "points", "did", "copies"],
             )
 
 
+def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to a row for each different text of a slice: its digest and the ids of its copies."""
+    for batch in batches:
+        for groups, ids, _ in sliced(batch, 0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.binary()), pa.array([[ids[i] for i in x[1]] for x in groups.values()], pa.list_(pa.int64()))], names=["sha", "ids"])
+
+
 class Table:
     """Open addressing with linear probing; a slot's content is compared in full."""
 
@@ -77,9 +90,19 @@ class Table:
         self.slots: list[int] = [-1] * 64
         self.hashes: list[int] = []
         self.texts: list[bytes] = []
+        self.digests: list[bytes] = []
         self.best: list[tuple[int, int]] = []  # (-points, doc_id)
         self.count: list[int] = []
-        self.bytes = 0
+
+    def add(self, h: int, sha: bytes, text: bytes, best: tuple[int, int], copies: int) -> None:
+        """Counts copies of a text, which is entered if new."""
+        g = self.find(h, text)
+        if g == len(self.best):
+            self.digests.append(sha)
+            self.best.append(best)
+            self.count.append(0)
+        self.best[g] = min(self.best[g], best)
+        self.count[g] += copies
 
     def find(self, h: int, text: bytes) -> int:
         """The group of this text, made if new."""
@@ -92,9 +115,6 @@ class Table:
         g = self.slots[i] = len(self.texts)
         self.hashes.append(h)
         self.texts.append(text)
-        self.best.append((1, 0))
-        self.count.append(0)
-        self.bytes += len(text) + 200
         if 2 * len(self.texts) > len(self.slots):
             self.slots = [-1] * (4 * len(self.slots))
             mask = len(self.slots) - 1
@@ -106,8 +126,8 @@ class Table:
         return g
 
 
-def grouped(rows_of, folder: str, size: int, level: int, limit: int) -> Iterator[tuple[bytes, list[int], int, int]]:
-    """rows_of(): (h, sha, body, ids, points), as often as asked. Gives (sha, ids, keep, count)."""
+def grouped(rows_of, folder: str, size: int, level: int, limit: int) -> Iterator[tuple[bytes, int, int]]:
+    """rows_of(): (h, sha, body, points, did, copies). Gives (sha, keep, count) of each text."""
     if size > limit and level < 12:
         files = [open(os.path.join(folder, f"{level}-{i}"), "wb") for i in range(FAN)]
         sizes = [0] * FAN
@@ -126,17 +146,16 @@ def grouped(rows_of, folder: str, size: int, level: int, limit: int) -> Iterator
             os.remove(f.name)
         return
     table = Table()
-    for h, _, body, ids, points in rows_of():
-        g = table.find(h, zlib.decompress(body))
-        table.count[g] += len(ids)
-        table.best[g] = min([x for x in (table.best[g],) if x[0] <= 0] + [(-p, i) for i, p in zip(ids, points, strict=True)])
-    for h, sha, body, ids, _ in rows_of():
-        g = table.find(h, zlib.decompress(body))
-        yield sha, ids, table.best[g][1], table.count[g]
+    for h, sha, body, points, did, copies in rows_of():
+        table.add(h, sha, zlib.decompress(body), (points, did), copies)
+    if len(set(table.digests)) < len(table.digests):
+        raise RuntimeError("one digest stands for two texts")
+    for sha, (_, keep), count in zip(table.digests, table.best, table.count, strict=True):
+        yield sha, keep, count
 
 
 def weight(row) -> int:
-    return 3 * len(row[2]) + 100
+    return 3 * len(row[2]) + 300
 
 
 def spilled(path: str):
@@ -148,9 +167,17 @@ def spilled(path: str):
                 return
 
 
+def scratch() -> str:
+    """A new folder in this executor's scratch space."""
+    spaces = [x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if x]
+    return tempfile.mkdtemp(prefix="grace-", dir=spaces[os.getpid() % len(spaces)] if spaces else None)
+
+
 def collected(limit: int):
+    """(h, sha, body, points, did, copies) to a row for each text: sha, keep, group_size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = tempfile.mkdtemp(prefix="grace-")
+        folder = scratch()
         try:
             path, held, size = os.path.join(folder, "all"), [], 0
             spill = None
@@ -168,17 +195,9 @@ def collected(limit: int):
                     pickle.dump(row, spill, 5)
                 held.clear()
                 spill.close()
-            out: list[list] = [[], [], [], []]
-            members = 0
-            for sha, ids, keep, count in grouped((lambda: spilled(path)) if spill else (lambda: held), folder, size, 0, limit):
-                for column, x in zip(out, (ids, [keep] * len(ids), [count] * len(ids), [sha.hex()] * len(ids)), strict=True):
-                    column.extend(x)
-                members += len(ids)
-                if members >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["did", "keep", "group_size", "text_sha256"])
-                    out, members = [[], [], [], []], 0
-            if members:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["did", "keep", "group_size", "text_sha256"])
+            found = grouped((lambda: spilled(path)) if spill else (lambda: held), folder, size, 0, limit)
+            while rows := list(itertools.islice(found, 20_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["sha", "keep", "group_size"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
@@ -190,8 +209,9 @@ def exact_groups(documents: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFr
     kind = dict(documents.dtypes)["doc_id"]
     docs = documents.select(F.col("doc_id").cast("long").alias("did"), F.col("text").cast("string").alias("text"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = docs.mapInArrow(dealt, "h long, sha binary, body binary, ids array<long>, points array<long>").repartition(n, "h")
-    found = parted.mapInArrow(collected(table_bytes), "did long, keep long, group_size long, text_sha256 string")
+    parted = docs.mapInArrow(dealt, "h long, sha binary, body binary, points long, did long, copies long").repartition(n, "h")
+    groups = parted.mapInArrow(collected(table_bytes), "sha binary, keep long, group_size long")
+    found = docs.mapInArrow(members, "sha binary, ids array<long>").join(groups, "sha").select(F.explode("ids").alias("did"), "keep", "group_size", F.lower(F.hex("sha")).alias("text_sha256"))
     real = lambda c: F.when(F.col(c) != NULL, F.col(c)).cast(kind)
     return found.select(
         real("did").alias("doc_id"), real("keep").alias("keep_id"), "group_size", (F.col("did") == F.col("keep")).alias("kept"), "text_sha256"
