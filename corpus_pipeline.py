@@ -1,13 +1,14 @@
 """The corpus pipeline: quality, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last adds the topic,
-the tokens, the sampling probability and the weight. Documents with a null doc_id pass only the stages that do not need one, and
-end at the first dedup.
+the tokens, the sampling probability and the weight. Rows with one doc_id, null among them, share its fate in the two dedup stages
+and are judged apart by the others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 from tessera.llm._runtime import shared_folder
@@ -18,20 +19,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _chosen(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    kept = groups.where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return docs.join(exact_dedup.exact_groups(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    return _chosen(docs, exact_dedup.exact_groups(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return docs.join(near_dedup.near_groups(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    return _chosen(docs, near_dedup.near_groups(docs))
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    found = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

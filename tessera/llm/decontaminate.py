@@ -112,43 +112,48 @@ class Items:
             self.filters[size][h >> np.uint64(44)] = True
 
 
+def hits(items: Items, coverage: float, column: pa.Array) -> list[tuple]:
+    """(row, item_id, coverage, matched words, item's words, tiles) of the texts and items whose tiles cover enough."""
+    buf, offsets = utf8(column)
+    rows = []
+    for lo, hi in parts(offsets):
+        hashes, at = plain_words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        for size, (h, item, place) in items.seeds.items():
+            g = grams(hashes, size)
+            hit = np.flatnonzero(items.filters[size][g >> np.uint64(44)])
+            doc = np.searchsorted(at, hit, "right") - 1
+            inside = hit + size <= at[doc + 1]
+            hit, doc = hit[inside], doc[inside]
+            low, high = np.searchsorted(h, g[hit]), np.searchsorted(h, g[hit], "right")
+            hit, doc, low, high = (x[low < high] for x in (hit, doc, low, high))
+            seen: dict[tuple[int, int], tuple[set, list]] = {}
+            for t, d, x, y in zip(hit.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
+                for k in range(x, y):
+                    places, texts = seen.setdefault((d, int(item[k])), (set(), []))
+                    places.add(int(place[k]))
+                    texts.append(t)
+            for (d, k), (places, texts) in seen.items():
+                w = items.words[k]
+                within = np.zeros(len(w), bool)
+                for i in places:
+                    within[i : i + size] = True
+                if within.sum() < coverage * len(w):
+                    continue
+                # only words in a seed can be in a tile; the parts between are replaced by one word that nothing equals
+                spots = np.unique(np.array(texts)[:, None] + np.arange(size))
+                gaps = np.flatnonzero(np.diff(spots) > 1) + 1
+                text = np.insert(hashes[spots], gaps, _stranger(w))
+                found = tiles(w, text, size)
+                matched = sum(x[2] for x in found)
+                if matched >= coverage * len(w):
+                    rows.append((lo + d, items.ids[k], matched / len(w), matched, len(w), len(found)))
+    return rows
+
+
 def tiled(items: Items, coverage: float, ids: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = utf8(batch.column(1))
-            rows = []
-            for lo, hi in parts(offsets):
-                hashes, at = plain_words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for size, (h, item, place) in items.seeds.items():
-                    g = grams(hashes, size)
-                    hit = np.flatnonzero(items.filters[size][g >> np.uint64(44)])
-                    doc = np.searchsorted(at, hit, "right") - 1
-                    inside = hit + size <= at[doc + 1]
-                    hit, doc = hit[inside], doc[inside]
-                    low, high = np.searchsorted(h, g[hit]), np.searchsorted(h, g[hit], "right")
-                    hit, doc, low, high = (x[low < high] for x in (hit, doc, low, high))
-                    seen: dict[tuple[int, int], tuple[set, list]] = {}
-                    for t, d, x, y in zip(hit.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
-                        for k in range(x, y):
-                            places, texts = seen.setdefault((d, int(item[k])), (set(), []))
-                            places.add(int(place[k]))
-                            texts.append(t)
-                    for (d, k), (places, texts) in seen.items():
-                        w = items.words[k]
-                        within = np.zeros(len(w), bool)
-                        for i in places:
-                            within[i : i + size] = True
-                        if within.sum() < coverage * len(w):
-                            continue
-                        # only words in a seed can be in a tile; the parts between are replaced by one word that nothing equals
-                        spots = np.unique(np.array(texts)[:, None] + np.arange(size))
-                        gaps = np.flatnonzero(np.diff(spots) > 1) + 1
-                        text = np.insert(hashes[spots], gaps, _stranger(w))
-                        found = tiles(w, text, size)
-                        matched = sum(x[2] for x in found)
-                        if matched >= coverage * len(w):
-                            rows.append((lo + d, items.ids[k], matched / len(w), matched, len(w), len(found)))
-            if rows:
+            if rows := hits(items, coverage, batch.column(1)):
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(columns[0])), pa.array(columns[1], pa.int64()), pa.array(columns[2]), *(pa.array(x, pa.int64()) for x in columns[3:])],
@@ -165,23 +170,44 @@ def _stranger(w: np.ndarray) -> np.uint64:
     return x
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document and item whose tiles cover that share of the item's words: doc_id, item_id, coverage, matched_words, item_words, n_tiles."""
-    kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id long, coverage double, matched_words long, item_words long, n_tiles long"
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = docs.limit(0).select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")[1:])))
-    block: list = []
-    blocks = []
-    size = 0
+def blocks(benchmark: DataFrame, shortest: int, block_bytes: int) -> Iterator[Items]:
+    """The test items, in blocks of bounded size."""
+    block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         block.append(row)
         size += len(row[1]) * 4
         if size > block_bytes:
-            blocks.append(block)
+            yield Items([r[0] for r in block], [r[1] for r in block], shortest)
             block, size = [], 0
-    for rows in [*blocks, block] if block else blocks:
-        items = Items([r[0] for r in rows], [r[1] for r in rows], shortest)
+    if block:
+        yield Items([r[0] for r in block], [r[1] for r in block], shortest)
+
+
+def overlaps(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document and item whose tiles cover that share of the item's words: doc_id, item_id, coverage, matched_words, item_words, n_tiles."""
+    kind = dict(documents.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, item_id long, coverage double, matched_words long, item_words long, n_tiles long"
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = None
+    for items in blocks(benchmark, shortest, block_bytes):
         found = docs.mapInArrow(tiled(items, coverage, "doc_id"), schema)
-        out = found if rows is (blocks or [block])[0] else out.union(found)
-    return out
+        out = out.union(found) if out else found
+    return out or documents.sparkSession.createDataFrame([], schema)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents, whole, in which no item is found. Each row is judged by its own text: no join, no shuffle."""
+    at = documents.columns.index("text")
+
+    def without(items: Items) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[x[0] for x in hits(items, coverage, batch.column(at))]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for items in blocks(benchmark, shortest, block_bytes):
+        documents = documents.mapInArrow(without(items), documents.schema)
+    return documents

@@ -6,7 +6,8 @@
    class, and one of them stands for it from here on.
 2. In each band bucket the sketches alone, compared from one document outwards, give a spanning forest of the pairs
    that may be similar: a document once reached is not compared again, so a bucket of copies costs
-   one comparison each, and no bucket emits more links than it has members.
+   one comparison each, and no bucket emits more links than it has members. A bucket of more than
+   ``BUCKET`` members is split into parts that meet in pairs, each pair a bucket of its own.
 3. Components of those links bound where true links can be. Each is gathered with its full sets, in
    blocks of bounded size that meet in pairs if it is large, and there links are decided exactly.
 4. Components of the true links are the result.
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._batch import grams, mix, packed, parts, prefix, ranges, slices, unpacked, utf8, words
@@ -38,6 +39,8 @@ BITS = 256
 FAR = 56
 #: Shingles that one block of a component may hold.
 BLOCK = 2_000_000
+#: Members of a band bucket that are gathered together; the keys of larger buckets are broadcast if there are at most HOT_KEYS.
+BUCKET, HOT_KEYS = 100_000, 100_000
 _random = np.random.default_rng(8)
 _A = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -155,6 +158,24 @@ def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
+def meetings(name: str, many: Column, pair: Callable[[Column, Column], Column]) -> Column:
+    """pair(i, j) for each pair of parts, i <= j, that a row of the part to which its ``name`` is hashed belongs to."""
+    own = F.pmod(F.xxhash64(name), many).cast("int")
+    return F.transform(F.sequence(F.lit(0), many - 1), lambda j: pair(F.least(own, j), F.greatest(own, j)))
+
+
+def bounded(buckets: DataFrame) -> DataFrame:
+    """Buckets (key, did, sketch) of a bounded size, in which all that share a bucket still meet."""
+    count = buckets.groupBy("key").count().where(F.col("count") > BUCKET)
+    hot = cut(count.select("key", F.ceil(F.col("count") / BUCKET).cast("int").alias("many")))
+    size = hot.count()
+    if not size:
+        return buckets
+    split = buckets.join(F.broadcast(hot) if size <= HOT_KEYS else hot, "key", "left")
+    keys = meetings("did", F.col("many"), lambda i, j: F.xxhash64("key", i, j))
+    return split.select(F.explode(F.when(F.col("many").isNull(), F.array("key")).otherwise(keys)).alias("key"), "did", "sketch")
+
+
 def full_sets(size: int) -> Callable:
     """(did, body, root, blocks) to (did, set, root, blocks)."""
 
@@ -216,13 +237,12 @@ def near_groups(documents: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     reps = reps.select("d1", "d2", F.col("rep.did").alias("did"), F.col("rep.fp").alias("fp"), "n", "bands", "sketch")
 
     buckets = reps.select(F.explode("bands").alias("key"), "did", "sketch")
-    maybe = buckets.repartition(n, "key").sortWithinPartitions("key", "did").mapInArrow(sketch_links, "a long, b long")
+    maybe = bounded(buckets).repartition(n, "key").sortWithinPartitions("key", "did").mapInArrow(sketch_links, "a long, b long")
     near = components(maybe)
 
     members = near.withColumnRenamed("node", "did").join(reps.select("did", "fp", "n"), "did")
     load = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("many"))
-    own = F.pmod(F.xxhash64("did"), F.col("many")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    pairs = meetings("did", F.col("many"), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
     members = members.join(load, "root").select("did", "fp", "root", pairs.alias("blocks"))
     gathered = packed(docs.select("did", "fp", "text")).join(members, ["did", "fp"]).select("did", "body", "root", "blocks")
     sets = gathered.mapInArrow(full_sets(size), "did long, set binary, root long, blocks array<struct<i:int,j:int>>")

@@ -153,6 +153,18 @@ def test_near_dedup_in_blocks(docs, monkeypatch):
     assert sorted(map(str, near_dedup.near_groups(docs).collect())) == want
 
 
+@pytest.mark.parametrize("keys", [0, 100_000])
+def test_near_dedup_splits_large_buckets(docs, spark, monkeypatch, keys):
+    words = [f"w{i}" for i in range(200)]
+    copies = [(1000 + i, " ".join([*words[:i], "other", *words[i + 1 :]])) for i in range(0, 60)]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(copies, "doc_id long, text string"))
+    want = sorted(map(str, near_dedup.near_groups(rows).collect()))
+    assert sum("component_id=1000," in x for x in want) == len(copies)
+    monkeypatch.setattr(near_dedup, "BUCKET", 4)
+    monkeypatch.setattr(near_dedup, "HOT_KEYS", keys)
+    assert sorted(map(str, near_dedup.near_groups(rows).collect())) == want
+
+
 def test_tiles_are_greedy():
     import numpy as np
 

@@ -41,3 +41,17 @@ def test_stages(spark, stages, tmp_path):
     found = {r.doc_id for r in decontaminate.overlaps(before, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert ids == rest - found
     assert {"topic", "n_tokens", "probability", "sample_weight"} <= set(docs.columns) and docs.count() > 0
+
+
+def test_rows_without_an_id(spark, stages, tmp_path):
+    """They are merged with equal texts, pass the dedup stages together, and are judged one by one for benchmark passages."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("text is not null").first().text
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    full = lambda i, t: (i, t, "en", "src0", len(t or ""))
+    rows = [full(None, "one text without an id that stays"), full(None, item), full(1, "another text that is clean"), full(2, "another text that is  clean"), full(3, None)]
+    docs = spark.createDataFrame(rows, schema)
+    by = dict(stages)
+    for name, want in [("exact_dedup", [0, 1, 3, 4]), ("near_dedup", [0, 1, 2, 4]), ("decontaminate", [0, 2, 3, 4])]:
+        got = by[name](spark, docs, DATA)
+        assert sorted(map(str, got.collect())) == sorted(str(docs.collect()[i]) for i in want)
+        assert by[name](spark, docs.limit(0), DATA).count() == 0
