@@ -30,8 +30,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return _chosen(docs, near_dedup.near_groups(docs))
+    """One document of each group of near-duplicates: 0.8 or more of the 5-word shingles in common."""
+    return _chosen(docs, near_dedup.near_groups(docs, percent=80))
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,17 +34,35 @@ from ._runtime import components, cut
 from ._windows import keyed
 
 SHINGLE = 5
-BANDS, ROWS = 20, 4
+#: Rows of a band; the values of SKETCHED bands make the sketch, and no similarity has fewer bands.
+ROWS, SKETCHED = 4, 20
 BITS = 256
-#: Bits that may differ. At a similarity of 0.85 some 22 of 256 do, with a deviation of 7.
-FAR = 56
+#: The share of pairs at the least similarity that may share no band, and by how many deviations more than the mean of their bits may differ.
+MISS, DEVIATIONS = 4e-7, 6
 #: Shingles that one block of a component may hold.
 BLOCK = 2_000_000
 #: Members of a band bucket that are gathered together; the keys of larger buckets are broadcast if there are at most HOT_KEYS.
 BUCKET, HOT_KEYS = 100_000, 100_000
-_random = np.random.default_rng(8)
-_A = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def bands_for(percent: int) -> int:
+    """Bands of ROWS rows at which a pair of that similarity shares none with a chance of MISS at most: 20 at 85, 28 at 80."""
+    return max(SKETCHED, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else SKETCHED
+
+
+def far_for(percent: int) -> int:
+    """Bits of two sketches that may differ: 56 at 85 (22 do, with a deviation of 6), 65 at 80 (28, with 6).
+
+    Of SKETCHED * ROWS values a binomial number differ, each flips a bit in either sketch, and the first two moments of the parities are exact."""
+    j, values = percent / 100, SKETCHED * ROWS
+    one, two = ((j + (1 - j) * (1 - x / BITS) ** 2) ** values for x in (2, 4))
+    return math.ceil(BITS / 2 * (1 - one) + DEVIATIONS / 2 * math.sqrt(BITS + BITS * (BITS - 1) * two - (BITS * one) ** 2))
+
+
+def factors(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of the hash functions; those of fewer bands come first."""
+    drawn = np.random.default_rng(8).integers(0, 1 << 63, (bands * ROWS, 2), dtype=np.uint64)
+    return drawn[:, 0] * np.uint64(2) + np.uint64(1), drawn[:, 1]
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +82,9 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return h, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
-def signed_sets(size: int) -> Callable:
+def signed_sets(size: int, bands: int) -> Callable:
+    factor, summand = factors(bands)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = utf8(batch.column(2))
@@ -71,16 +92,18 @@ def signed_sets(size: int) -> Callable:
                 h, at = shingles(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
-                keys = np.zeros((hi - lo, BANDS), np.uint64)
+                keys = np.zeros((hi - lo, bands), np.uint64)
                 sketch = np.zeros((hi - lo, BITS // 64), np.uint64)
                 if len(full):
                     heads = at[:-1][full]
-                    for b in range(BANDS):
+                    for b in range(bands):
                         key = np.full(len(full), b + 1, np.uint64)
                         for j in range(b * ROWS, (b + 1) * ROWS):
-                            least = np.minimum.reduceat(h * _A[j] + _B[j], heads)
+                            least = np.minimum.reduceat(h * factor[j] + summand[j], heads)
                             key = mix(key ^ least)
-                            bit = (mix(least ^ _A[j]) % np.uint64(BITS)).astype(np.int64)
+                            if b >= SKETCHED:
+                                continue
+                            bit = (mix(least ^ factor[j]) % np.uint64(BITS)).astype(np.int64)
                             sketch[full, bit >> 6] ^= np.uint64(1) << (bit & 63).astype(np.uint64)
                         keys[full, b] = key
                 raw = memoryview(h).cast("B") if len(h) else b""
@@ -90,7 +113,7 @@ def signed_sets(size: int) -> Callable:
                     [
                         batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n),
                         pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])),
-                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64))),
                         pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
                     names=["did", "fp", "n", "d1", "d2", "bands", "sketch"],
@@ -138,24 +161,28 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[
     return a, b
 
 
-def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, did, sketch) in order of key to links (a, b)."""
-    for rows in grouped(batches, 1):
-        key, did = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        at = bounds([key])
-        size = np.diff(at)
-        if (size < 2).all():
-            continue
-        bits = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(len(key), -1)
-        apart = lambda i, j: np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-        two = at[:-1][size == 2]
-        two = two[apart(two, two + 1) <= FAR]
-        a, b = [did[two]], [did[two + 1]]
-        for s, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = spread(n, lambda i, others, s=s: apart([s + i], s + others) <= FAR)
-            a.append(did[s + np.array(x, np.int64)])
-            b.append(did[s + np.array(y, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+def sketch_links(far: int) -> Callable:
+    """Rows (key, did, sketch) in order of key to links (a, b) of sketches that differ in so many bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, 1):
+            key, did = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            at = bounds([key])
+            size = np.diff(at)
+            if (size < 2).all():
+                continue
+            bits = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint64).reshape(len(key), -1)
+            apart = lambda i, j: np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
+            two = at[:-1][size == 2]
+            two = two[apart(two, two + 1) <= far]
+            a, b = [did[two]], [did[two + 1]]
+            for s, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                x, y = spread(n, lambda i, others, s=s: apart([s + i], s + others) <= far)
+                a.append(did[s + np.array(x, np.int64)])
+                b.append(did[s + np.array(y, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
 
 
 def meetings(name: str, many: Column, pair: Callable[[Column, Column], Column]) -> Column:
@@ -231,13 +258,13 @@ def near_groups(documents: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = keyed(documents)
     schema = "did long, fp long, n long, d1 long, d2 long, bands array<long>, sketch binary"
-    every = cut(docs.select("did", "fp", "text").mapInArrow(signed_sets(size), schema))
+    every = cut(docs.select("did", "fp", "text").mapInArrow(signed_sets(size, bands_for(percent)), schema))
     first = F.min(F.struct("did", "fp")).alias("rep")
     reps = cut(every.where("n > 0").groupBy("d1", "d2").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     reps = reps.select("d1", "d2", F.col("rep.did").alias("did"), F.col("rep.fp").alias("fp"), "n", "bands", "sketch")
 
     buckets = reps.select(F.explode("bands").alias("key"), "did", "sketch")
-    maybe = bounded(buckets).repartition(n, "key").sortWithinPartitions("key", "did").mapInArrow(sketch_links, "a long, b long")
+    maybe = bounded(buckets).repartition(n, "key").sortWithinPartitions("key", "did").mapInArrow(sketch_links(far_for(percent)), "a long, b long")
     near = components(maybe)
 
     members = near.withColumnRenamed("node", "did").join(reps.select("did", "fp", "n"), "did")

@@ -55,3 +55,24 @@ def test_rows_without_an_id(spark, stages, tmp_path):
         got = by[name](spark, docs, DATA)
         assert sorted(map(str, got.collect())) == sorted(str(docs.collect()[i]) for i in want)
         assert by[name](spark, docs.limit(0), DATA).count() == 0
+
+
+def test_near_stage_takes_pairs_at_80(spark, stages):
+    """Against brute-force shingle sets at 0.8, with pairs on both sides of it and of 0.85."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for k, n in enumerate([30, 44, 45, 46, 50, 54, 58, 62, 66, 70, 90] * 3):
+        w = [word() for _ in range(n + 4)]
+        texts[2 * k] = " ".join(w)
+        w[n // 2] = "other"
+        texts[2 * k + 1] = " ".join(w)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    alike = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in texts if i % 2 == 0}
+    assert any(0.8 <= x < 0.85 for x in alike.values()) and any(x < 0.8 for x in alike.values())
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in texts.items()], schema)
+    got = {x.doc_id for x in dict(stages)["near_dedup"](spark, docs, DATA).collect()}
+    assert got == {i for i in texts if i % 2 == 0 or alike[i - 1] < 0.8}
