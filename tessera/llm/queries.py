@@ -48,7 +48,10 @@ def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.round_trip(_table(spark, folder, "pages")).drop("capture")
+    """Rows without an id are told as revisits of no page, as the SQL does, though the archive has the payload of one where no page holds it."""
+    rows = warc.round_trip(_table(spark, folder, "pages"), nameless=True).drop("capture")
+    named = F.col("page_id").isNotNull()
+    return rows.withColumns({"record_type": F.when(named, F.col("record_type")).otherwise("revisit"), "refers_to": F.when(named, F.col("refers_to"))})
 
 
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:

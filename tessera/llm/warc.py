@@ -7,8 +7,9 @@ which is that writer's line separator) and read by Spark's binary reader, so any
 Payloads cross shuffles compressed.
 
 Of equal payloads (by SHA-1 over the whole payload) of at least ``least`` bytes, the capture with the largest
-page_id is the response. Cases: null html is an empty payload; null urls become ``urn:page:<id>``, and rows with a
-null page_id are left out, as a capture needs a name; rows that repeat a page_id are captures numbered apart; an empty table gives no rows; other columns are ignored.
+page_id is the response, and so is every other capture of that page with the payload. Cases: null html is an empty payload; null
+urls become ``urn:page:<id>``; rows with a null page_id are left out unless ``nameless``, and then are the response only of a payload that no
+page has; rows that repeat a page_id are captures of their own, and equal rows are numbered apart; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batch import packed
-from ._runtime import shared_folder
+from ._runtime import cut, shared_folder
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: At most so many captures go to one archive, which is read as a whole.
 FILE_CAPTURES = 5000
+#: Equal rows are numbered in runs of so many, which are dealt out; as many keys of equal rows are broadcast.
+RUN = 1000
 PARTS = ("response", "request", "metadata")
 RECORD = "archive string, record_id string, type string, concurrent_to string, refers_to_id string, target_uri string, digest string, headers map<string,string>, block binary"
 
@@ -46,19 +49,20 @@ def record(kind: str, name: str, fields: list[tuple[str, str]], block: str) -> s
 
 
 def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, copy, url, packed html, digest as hex, page and copy referred to or null) to the text of three records."""
+    """(page_id, copy, url, packed html, digest as hex, page and copy referred to or null, number among equal rows) to the text of three records."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
-        for page, copy, url, body, sha, other, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for page, copy, url, body, sha, other, again, number in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             html = unpack(body).decode("utf-8", "surrogatepass")
-            name = f"urn:capture:{page}:{copy}"
+            page, other = ("" if x is None else x for x in (page, other))
+            name = f"urn:capture:{page}:{copy}" + (f":{number}" if number else "")
             target = "".join(c for c in (url or "") if c > " ") or f"urn:page:{page}"
             digest = "sha1:" + base32(bytes.fromhex(sha))
             size = len(html.encode("utf-8", "surrogatepass"))
             fields = [("WARC-Target-URI", target), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")]
             head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {size}" + END
-            if other is None:
+            if again is None:
                 first = record("response", f"{name}:response", fields, head + html)
             else:
                 profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,17 +81,38 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
-def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
+def numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows with their number, 0 unless other rows equal them: one of equal rows is kept and repeated as often as they are."""
+    many = counts.where("many > 1").select(F.col("page_id").alias("_page"), F.col("copy").alias("_copy"), "many")
+    size = many.count()
+    if not size:
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    same = rows["page_id"].eqNullSafe(F.col("_page")) & (rows["copy"] == F.col("_copy"))
+    rows = rows.join(F.broadcast(many) if size <= RUN else many, same, "left").drop("_page", "_copy")
+    keys = ["page_id", "copy"]
+    others = [c for c in rows.columns if c not in keys]
+    kept = rows.where("many is not null").groupBy(*keys).agg(*(F.first(c).alias(c) for c in others))
+    runs = kept.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / RUN)))).repartition(*keys, "run")
+    last = F.least(F.col("many") - 1, F.col("run") * RUN + RUN - 1)
+    runs = runs.withColumn("number", F.explode(F.sequence(F.col("run") * RUN, last))).drop("run", "many")
+    return rows.where("many is null").drop("many").withColumn("number", F.lit(0).cast("long")).unionByName(runs)
+
+
+def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip", nameless: bool = False) -> None:
     """Archives of the captures ``pages(page_id, url, html)`` in the new folder path."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    p = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    p = pages if nameless else pages.where("page_id is not null")
+    p = p.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     digest = F.sha1(F.col("html").cast("binary")).alias("digest")
     p = p.select("page_id", "url", digest, F.xxhash64("url", digest).alias("copy"), F.octet_length("html").alias("n"), "html")
     own = F.struct("page_id", "copy")
-    heads = p.where(F.col("n") >= least).groupBy("digest").agg(F.max(own).alias("head"))
+    counts = cut(p.groupBy("page_id", "copy", "digest", "n").agg(F.count("*").alias("many")))
+    heads = counts.where(F.col("n") >= least).groupBy("digest").agg(F.max(own).alias("head"))
     p = packed(p).join(heads, "digest", "left")
-    other = lambda c: F.when(F.col("head").isNotNull() & (F.col("head") != own), F.col(f"head.{c}"))
+    apart = F.when(F.col("page_id").isNull(), F.col("head") != own).otherwise(F.col("head.page_id") != F.col("page_id"))
+    other = lambda c: F.when(F.col("head").isNotNull() & apart, F.col(f"head.{c}"))
     rows = p.select("page_id", "copy", "url", "body", "digest", other("page_id").alias("other"), other("copy").alias("again"))
+    rows = numbered(rows, counts).select("page_id", "copy", "url", "body", "digest", "other", "again", "number")
     writer = rows.mapInArrow(records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", FILE_CAPTURES)
     writer.option("compression", compression).text(path)
 
@@ -161,13 +186,13 @@ def transactions(read_records: DataFrame) -> DataFrame:
     return rows.mapInArrow(opened, f"{rows.schema.simpleString()[7:-1]},payload_bytes:bigint,payload_digest:string")
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0, nameless: bool = False) -> DataFrame:
     """Writes pages as archives, reads them back and gives one nested row per capture, with page_id, payload_bytes, payload_digest, record_type and refers_to."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
-    write(pages, folder, least)
+    write(pages, folder, least, nameless=nameless)
     rows = transactions(read(spark, folder))
-    page = lambda c: F.regexp_extract(c, r"^urn:capture:(-?\d+):", 1).cast("long")
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:capture:(-?\d*):", 1), F.lit("")).cast("long")
     told = F.regexp_extract(F.col("metadata.block").cast("string"), r"payloadBytes: (\d+)", 1).cast("long")
     whole = F.col("response.type") == "response"
     return rows.select(

@@ -259,6 +259,28 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_warc_keeps_repeated_rows(spark, tmp_path, monkeypatch):
+    """One row for each of pages, as the SQL has it, with equal rows, one page at two urls, and rows without an id."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    monkeypatch.setattr(warc, "RUN", 2, raising=False)
+    rows = [(1, "u", "same")] * 5 + [(1, "v", "same"), (2, "w", "same"), (2, "w", "same"), (3, "x", None), (3, "x", ""), (4, None, "one")] + [(None, "n", "same"), (None, "n", "alone"), (None, "n", "alone"), (None, None, "alone")]
+    schema = "page_id long, url string, html string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op9_warc(spark, str(tmp_path))
+    want = duckdb.connect()
+    want.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = want.sql(queries.SQL["op9_warc"])
+    order = [want.columns.index(c) for c in got.columns]
+    assert sorted(str(tuple(x)) for x in got.collect()) == sorted(str(tuple(x[i] for i in order)) for x in want.fetchall())
+    captures = warc.round_trip(spark.createDataFrame(rows, schema), nameless=True).select("capture").collect()
+    names = [x.capture.response.record_id for x in captures]
+    assert len(names) == len(set(names)) == len(rows) and all(x.capture.request and x.capture.metadata for x in captures)
+    assert {x.capture.response.refers_to_id for x in captures} - {None} <= {x.capture.response.record_id for x in captures if x.capture.response.type == "response"}
+
+
 def brute_secrets(text):
     spans = []
     for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
