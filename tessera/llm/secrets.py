@@ -3,7 +3,10 @@
 Known shapes are found by pattern. On top of those, candidate strings are measured by the Shannon entropy of a
 sliding window: for each step the count of the character that enters and of the one that leaves change by one, and
 with them the running sum of c * log2(c), so a step costs the same whatever the window. The alphabet of a
-candidate (its character class) sets the threshold, and an allow-list of patterns suppresses it.
+candidate (its character class) sets the threshold, and an allow-list of patterns suppresses it. A candidate is a string
+of all the characters, and, where that is not suspicious as a whole, each maximal run of one class in it, with the limit and the allow-list
+applied to the run alone: a label, a path or an allowed word beside a key does not hide it. A run shorter than the window is a window of its
+own length, and its limit is the same share of the most that so many characters can have.
 
 Positions are code points, end exclusive. Cases: null text counts as empty and gives a row without spans; rows with
 the same doc_id each give a row; an empty table gives no rows; other columns are ignored.
@@ -11,6 +14,8 @@ the same doc_id each give a row; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,9 @@ KINDS = [
 ]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 WINDOW = 24
+#: The runs that are candidates of their own, in the order in which they are tried, and their least length.
+RUNS = [r"[A-Za-z0-9+/_-]{16,}={0,2}", r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9_-]{16,}={0,2}", r"[A-Za-z0-9]{16,}", r"[0-9a-fA-F]{16,}"]
+SHORTEST = 16
 #: Character class of a whole candidate, and the bits per character that a window must reach.
 CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.9), ("base64", r"^[A-Za-z0-9+/_=-]+$", 4.0)]
 #: Never a secret: a word in letters of one case, perhaps with a capital or hyphens; numbers; a UUID; one repeated character; placeholders.
@@ -57,7 +65,7 @@ def matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Co
     return F.when(F.size(found) > 0, F.aggregate(rows, state, step, lambda s: s["out"])).otherwise(none)
 
 
-def top_entropy(text: Column, window: int = WINDOW) -> Column:
+def top_entropy(text: Column, window: int | Column = WINDOW) -> Column:
     """Greatest Shannon entropy, in bits per character, of any window of an ASCII string at least that long.
 
     One pass: counts holds how often each of 128 characters is in the window, total the sum of c * log2(c)."""
@@ -76,9 +84,8 @@ def top_entropy(text: Column, window: int = WINDOW) -> Column:
         seen = lambda y: F.struct(y["counts"].alias("counts"), y["total"].alias("total"), F.when(i >= window, F.least(y["least"], y["total"])).otherwise(y["least"]).alias("least"))
         return F.transform(F.array(s), seen)[0]
 
-    import math
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), state, step, lambda s: F.lit(math.log2(window)) - s["least"] / window)
+    size = F.lit(window) if isinstance(window, int) else window
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), state, step, lambda s: F.log2(size.cast("double")) - s["least"] / size)
 
 
 def scan(documents: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
@@ -89,18 +96,26 @@ def scan(documents: DataFrame, window: int = WINDOW, classes=CLASSES, allowed=AL
     # a candidate needs a run of its characters: most texts have none, and skip the rest
     docs = docs.withColumn("base", F.array_sort(base)).withColumn("candidates", matches(F.col("text"), CANDIDATE, 3, 0, window))
 
-    def suspicious(span: Column) -> Column:
+    def suspicious(span: Column, found: Column) -> Column:
         value = F.substring(F.col("text"), span["start"] + 1, span["end"] - span["start"])
         suppressed = F.lit(False)
         for p in allowed:
             suppressed = suppressed | value.rlike(p)
-        inside = F.exists("base", lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
+        inside = F.exists(found, lambda b: (b["start"] <= span["start"]) & (b["end"] >= span["end"]))
         limit = F.lit(None).cast("double")
         for _, p, bits in reversed(classes):
             limit = F.when(value.rlike(p), bits).otherwise(limit)
-        return F.when(inside | suppressed, F.lit(False)).otherwise(F.coalesce(top_entropy(value, window) >= limit, F.lit(False)))
-
-    return docs.select("doc_id", "text", "base", F.filter("candidates", suspicious).alias("entropy"))
+        size = F.least(F.length(value), F.lit(window))
+        limit = limit * F.when(size < window, F.log2(size.cast("double")) / math.log2(window)).otherwise(1.0)
+        return F.when(inside | suppressed, F.lit(False)).otherwise(F.coalesce(top_entropy(value, size) >= limit, F.lit(False)))
+
+    docs = docs.withColumn("entropy", F.filter("candidates", lambda x: suspicious(x, F.col("base"))))
+    shortest = min(SHORTEST, window)
+    for run in RUNS:
+        # again a text without such a run has nothing to measure
+        docs = docs.withColumn("runs", matches(F.col("text"), run, 3, 0, shortest))
+        docs = docs.withColumn("entropy", F.concat("entropy", F.filter("runs", lambda x: suspicious(x, F.concat("base", "entropy")))))
+    return docs.select("doc_id", "text", "base", F.array_sort("entropy").alias("entropy"))
 
 
 def written(spans: Column) -> Column:

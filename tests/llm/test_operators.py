@@ -322,6 +322,22 @@ def test_secrets(spark, docs, none):
     assert secrets.digest(docs).count() == len(ROWS) and secrets.digest(none).count() == 0
 
 
+def test_secrets_beside_labels_and_allowed_words(spark):
+    """A key in a run of one class is found whatever is joined to it, and so are keys of 16 to 23 characters; words are not."""
+    r = random.Random(11)
+    hexes = ["".join(r.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(20)]
+    key, short = "q7Zp2LxV9bTn4KsW8dRm3HcY", "Zk3Qv9Lw2Xr7Tb5N"
+    hidden = [(f"{label}{h}", h) for h in hexes for label in ("", "SIG=", "KEY=", "hash/", "example-")]
+    hidden += [(f"example/path/{key}", key), (f"placeholder={key}", key), (f"x {short} y", short), (f"see example/{short}", short), (f"SIG={hexes[0][:16]}0F3A", hexes[0][:16] + "0F3A")]
+    plain = ["internationalization", "a/path/of/plain/words/only", "some-hyphened-words-together", "0000000000000000", "1234567890123456", "MAXIMUMCONNECTIONS", "example/placeholder/changeme"]
+    rows = [*(t for t, _ in hidden), *plain]
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, (text, secret) in enumerate(hidden):
+        at = text.index(secret)
+        assert any(x.start <= at and x.end >= at + len(secret) for x in got[i].entropy), text
+    assert all(not got[i].entropy for i in range(len(hidden), len(rows)))
+
+
 def test_mixing_meets_the_targets(spark, docs, none):
     r = random.Random(4)
     rows = [(i, "w " * r.randint(1, 20), r.choice(["en"] * 4 + ["de"]), r.choice(["src0"] * 5 + ["src1", "src2"])) for i in range(3000)]
