@@ -275,7 +275,9 @@ def near_groups(documents: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     sets = gathered.mapInArrow(full_sets(size), "did long, set binary, root long, blocks array<struct<i:int,j:int>>")
     blocks = sets.select("did", "set", "root", F.explode("blocks").alias("block")).select("root", "block.i", "block.j", "did", "set")
     links = blocks.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "did").mapInArrow(true_links(percent), "a long, b long")
-    groups = components(links)
+    # an id of several rows is one document: its sets are linked through it
+    several = every.where("n > 0 AND fp <> 0").join(reps.select("d1", "d2", F.col("did").alias("rep")), ["d1", "d2"])
+    groups = components(links.union(several.where("did <> rep").select(F.col("rep").alias("a"), F.col("did").alias("b"))))
 
     real = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).cast(kind)
     labelled = reps.select("d1", "d2", F.col("did").alias("rep")).join(groups, F.col("rep") == F.col("node"), "left")

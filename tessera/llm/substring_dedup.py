@@ -3,12 +3,13 @@
 A window of 20 words can repeat only if each window of 5 in it does. The first level takes, for each
 window, the 5 words with the least hash (see ``_windows``) and keeps those that occur again in
 other surroundings. Those alone are extended to the 10 words around them, and the 10-word windows
-that repeat to 20, until no candidate survives. At the last level the words' hashes themselves are
-compared with those of the earliest window.
+that repeat to 20, until no candidate survives. At the last level the words themselves are
+compared with those of the earliest window. Runs that are equal from end to end are compared with the first of them, word by word, and only
+different ones go through the levels.
 
 Cases: null and empty texts have no words; texts with fewer words than a window stay whole (words
 joined by one space); an empty table gives no rows; other columns are ignored. Rows with the same doc_id and text are
-one document, each reported.
+one document, each reported; rows without a doc_id, or with one doc_id and other texts, are documents of their own.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from ._windows import MOST, keyed, marked, ranges, removed, repeats
 LENGTH, SEED = 20, 5
 
 
-def tokenise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, _, _, at = words(buf, offsets)
-    return hashes, at
+def tokenise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    hashes, begin, end, at = words(buf, offsets)
+    return hashes, at, begin, end
 
 
 def solver(length: int, seed: int):
@@ -39,7 +40,7 @@ def solver(length: int, seed: int):
             out.append(out[-1] // 2)
         return out[::-1]
 
-    def solve(flat, at, group, o, n, did, place):
+    def solve(flat, at, group, o, n, rank, spell):
         m = len(at)
         size = n + length - 1
         # every run's tokens around its anchor, which is at column wide - 1
@@ -49,9 +50,6 @@ def solver(length: int, seed: int):
         sums = np.zeros((m, table.shape[1] + 1), np.uint64)
         for i in range(table.shape[1]):
             sums[:, i + 1] = sums[:, i] * np.uint64(BASE) + table[:, i]
-        order = np.lexsort((place, did))
-        rank = np.empty(m, np.int64)
-        rank[order] = np.cumsum(np.r_[0, (did[order][1:] != did[order][:-1]) | (place[order][1:] != place[order][:-1])])
         alive = np.ones((m, wide), bool)  # windows by the anchor's offset x; first, those whose 5 words repeat
         x = np.arange(wide)
         alive &= (x[None, :] <= o[:, None]) & (x[None, :] > (o - n)[:, None])
@@ -78,9 +76,16 @@ def solver(length: int, seed: int):
                     continue
                 again = own > own[head]
                 mine, theirs = rows[by[again]], rows[by[head[again]]]
-                columns = slice(begin, begin + length)
-                same = (table[mine, columns] == table[theirs, columns]).all(axis=1)
+                lo, hi = o - y, o - y + length
+                same = np.array([p == q for p, q in zip(spell(mine, lo[mine], hi[mine]), spell(theirs, lo[theirs], hi[theirs]), strict=True)], bool)
                 found[mine[same], y] = True
+                # one hash for several windows: the words themselves are the key
+                for i in np.unique(hs[again][~same]).tolist():
+                    seen: dict[tuple, int] = {}
+                    clash = by[hs == i]
+                    for j in clash.tolist():
+                        key = (group[rows[j]], spell(rows[j : j + 1], lo[rows[j : j + 1]], hi[rows[j : j + 1]])[0])
+                        found[rows[j], y] = rank[rows[j]] > seen.setdefault(key, rank[rows[j]])
             alive &= found
             first = alive
         return first
@@ -94,7 +99,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED,
     Returns doc_id, n_words, n_removed, kept_sha256, kept (the remaining words joined by one space, UTF-8) and
     spans (array of [start, end) word positions)."""
     docs = keyed(documents)
-    spans = repeats(docs, tokenise, solver(length, seed), length, seed, "u8", most)
+    spans = repeats(docs, tokenise, solver(length, seed), length, seed, most)
 
     def finish(text, firsts, counts):
         every = text.tobytes().split()

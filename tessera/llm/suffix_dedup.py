@@ -7,8 +7,11 @@ comparison takes a logarithmic number of steps. Neighbours' common extensions ar
 byte by byte; if a hash collision misled one, the group is sorted by the bytes themselves. Two windows with
 the anchor at offset x are equal when their suffixes share ``length - x`` bytes and their prefixes x.
 
+Runs that are equal from end to end are compared byte by byte with the first of them, and only different ones sorted.
+
 Cases: null and empty texts have no window; texts shorter than ``length`` stay whole; an empty table gives no
-rows; other columns are ignored. Rows with the same doc_id and text are one document, each reported.
+rows; other columns are ignored. Rows with the same doc_id and text are one document, each reported; rows without a
+doc_id, or with one doc_id and other texts, are documents of their own.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from ._windows import MOST, keyed, marked, removed, repeats
 LENGTH, SEED = 100, 24
 
 
-def tokenise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.ascontiguousarray(buf), offsets
+def tokenise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, None, None]:
+    return np.ascontiguousarray(buf), offsets, None, None
 
 
 def laid_out(flat: np.ndarray, at: np.ndarray, count: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -109,15 +112,12 @@ class Suffixes:
 def solver(length: int, seed: int):
     wide = length - seed + 1
 
-    def solve(flat, at, group, o, n, did, place):
+    def solve(flat, at, group, o, n, rank, spell):
         m = len(at)
         right = Suffixes(laid_out(flat, at + o, n + length - 1 - o, length, 1))
         left = Suffixes(laid_out(flat, at + o - 1, o, wide - 1, -1))
         right_order, right_common = right.ordered(group)
         left_order, left_common = left.ordered(group)
-        order = np.lexsort((place, did))
-        rank = np.empty(m, np.int64)
-        rank[order] = np.cumsum(np.r_[0, (did[order][1:] != did[order][:-1]) | (place[order][1:] != place[order][:-1])])
         dup = np.zeros((m, wide), bool)
         for x in range(wide):
             on = np.flatnonzero((x <= o) & (x > o - n))
@@ -142,7 +142,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED,
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the remaining bytes) and
     spans (array of [start, end) byte positions)."""
     docs = keyed(documents)
-    spans = repeats(docs, tokenise, solver(length, seed), length, seed, "u1", most)
+    spans = repeats(docs, tokenise, solver(length, seed), length, seed, most)
 
     def finish(text, firsts, counts):
         gone = removed(firsts, counts, length, len(text))

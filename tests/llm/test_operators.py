@@ -87,6 +87,91 @@ def test_suffix_order_survives_hash_collisions():
     assert (suffixes.ordered(group)[1] == common).all()
 
 
+def by_hash(spark, rows):
+    """Rows (doc_id, text) in the operators' order: doc_id, a null first, then the hash of the text."""
+    table = spark.createDataFrame(rows, "doc_id long, text string").distinct()
+    return [(r.doc_id, r.text) for r in table.selectExpr("doc_id", "text", "doc_id IS NOT NULL AS named", "xxhash64(text) AS h").orderBy("named", "doc_id", "h").collect()]
+
+
+def test_repeats_in_rows_without_an_id(spark):
+    """2,000 texts without a doc_id and some that share one are documents of their own, in slices of one row; removed spans or not make no difference to the columns."""
+    r = random.Random(8)
+    shared = [" ".join(f"w{r.randrange(500)}" for _ in range(40)) for _ in range(30)]
+    rows = []
+    for i in range(2400):
+        own = [f"x{r.randrange(10**6)}" for _ in range(r.randint(0, 30))]
+        at = r.randint(0, len(own))
+        if r.random() < 0.5:
+            own[at:at] = r.choice(shared).split()
+        rows.append((None if i < 2000 else i % 100, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, seen_words, want, want_words = set(), set(), {}, {}
+    for i, t in by_hash(spark, rows):
+        b, w = t.encode(), t.split()
+        gone, gone_words = bytearray(len(b)), set()
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen_words:
+                gone_words |= set(range(k, k + 20))
+            seen_words.add(tuple(w[k : k + 20]))
+        want[i, len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g)] = want.get((i, len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g)), 0) + 1
+        want_words[i, len(w), len(gone_words), " ".join(x for k, x in enumerate(w) if k not in gone_words)] = 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {(x.doc_id, x.n_bytes, x.n_removed, bytes(x.kept)) for x in suffix_dedup.remove_repeats(table).collect()}
+        assert got == set(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for most in (3, 10_000):
+        assert {(x.doc_id, x.n_bytes, x.n_removed, bytes(x.kept)) for x in suffix_dedup.remove_repeats(table, most=most).collect()} == set(want)
+        assert {(x.doc_id, x.n_words, x.n_removed, x.kept.decode()) for x in substring_dedup.remove_repeats(table, most=most).collect()} == set(want_words)
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()) for i, w in ((i, t.split()) for i, t in by_hash(spark, rows))]
+    near = near_dedup.near_groups(table).collect()
+    assert sorted((x.doc_id is not None, x.doc_id or 0, x.n_shingles) for x in near) == sorted((i is not None, i or 0, len({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())) for i, w in ((i, t.split()) for i, t in rows))
+    # ids are the nodes: rows that share one (or have none) are one document of several sets
+    root: dict = {}
+    find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
+    full = [(i, s) for i, s in sets if s]
+    for x, (i, s) in enumerate(full):
+        for j, t in full[x + 1 :]:
+            if len(s & t) * 100 >= 85 * len(s | t) and find(i) != find(j):
+                lo, hi = sorted((find(i), find(j)), key=lambda y: (y is not None, y or 0))
+                root[hi] = lo
+    for x in near:
+        if x.n_shingles:
+            assert x.component_id == find(x.doc_id)
+
+
+def test_bytes_decide(monkeypatch):
+    """With every hash of runs alike, within a slice and in the solver, bytes alone tell copies."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import _windows
+
+    texts = [bytes(np.random.default_rng(i % 5).integers(97, 100, 60).astype(np.uint8)) for i in range(12)]
+    order = sorted(range(12), key=lambda i: (texts[i], i))
+    columns = [[7] * 12, order, [0] * 12, [10 << 8 | 20] * 12, [texts[i] for i in order], [0] * 12]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["a", "did", "fp", "v", "tokens", "k"])
+    tables = []
+    solve = lambda tokens, at, group, o, n, rank, spell: tables.append(spell(np.arange(len(at)), 0 * at, 0 * at + 60)) or np.zeros((len(at), 1), bool)
+    found = list(_windows.solving(solve, suffix_dedup.tokenise, 41)(iter([batch.slice(0, 3), batch.slice(3)])))
+    assert sorted(d for x in found for d in x.column(0).to_pylist()) == list(range(5, 12))
+    assert sorted(tables[0]) == sorted(texts[:5])
+
+    monkeypatch.setattr(_windows, "hashed", lambda tokens, first, n, o, length: np.zeros(len(first), np.int64))
+    monkeypatch.setattr(_windows, "runs_of", lambda tokens, starts, ends, length, seed: [(np.arange(12), np.zeros(12, np.int64), np.full(12, 20), np.full(12, 10), np.zeros(12, np.uint64), starts)])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([0] * 12), pa.array([x.decode() for x in texts])], names=["did", "fp", "text"])
+    (out,) = _windows.scan(suffix_dedup.tokenise, 41, 24)(iter([rows]))
+    local = [d for d, v in zip(out.column(2).to_pylist(), out.column(4).to_pylist(), strict=True) if v < 0]
+    assert local == [5, 10]  # those with the bytes of the first; the rest go on
+
+
 def test_exact_dedup(docs, none):
     norm = lambda t: (t or "").translate({ord(c): None for c in SPACE})
     groups = {}
@@ -338,6 +423,25 @@ def test_secrets_beside_labels_and_allowed_words(spark):
     assert all(not got[i].entropy for i in range(len(hidden), len(rows)))
 
 
+def test_secrets_of_a_megabyte(spark):
+    """Long candidates take time in proportion to their length and no stack: base64, hyphenated words, thousands of keys, one letter."""
+    import time
+
+    r = random.Random(12)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    blob = draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 1_000_000)
+    keys = [draw("0123456789GHIJKLMNOP", 32) for _ in range(20_000)]
+    rows = [(1, blob), (2, "-".join(["word"] * 200_000)), (3, " ".join(keys)), (4, "a" * 1_000_000), (5, "ab-" * 20_000 + "x")]
+    began = time.time()
+    got = {x.doc_id: x.spans for x in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert time.time() - began < 90
+    assert got[1] == "entropy:0:1000000" and got[2] == got[5] == ""
+    entropy = lambda t: -sum(t.count(c) / 24 * math.log2(t.count(c) / 24) for c in set(t))
+    found = [i for i, k in enumerate(keys) if max(entropy(k[j : j + 24]) for j in range(9)) >= 3.9]
+    assert 0 < len(found) < len(keys) and got[3] == ",".join(f"entropy:{33 * i}:{33 * i + 32}" for i in found)
+    assert got[4] == "hex:0:1000000"
+
+
 def test_mixing_meets_the_targets(spark, docs, none):
     r = random.Random(4)
     rows = [(i, "w " * r.randint(1, 20), r.choice(["en"] * 4 + ["de"]), r.choice(["src0"] * 5 + ["src1", "src2"])) for i in range(3000)]
