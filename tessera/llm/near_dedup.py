@@ -8,8 +8,8 @@
    that may be similar: a document once reached is not compared again, so a bucket of copies costs
    one comparison each, and no bucket emits more links than it has members. A bucket of more than
    ``BUCKET`` members is split into parts that meet in pairs, each pair a bucket of its own.
-3. Components of those links bound where true links can be. Each is gathered with its full sets, in
-   blocks of bounded size that meet in pairs if it is large, and there links are decided exactly.
+3. Components of those links bound where true links can be. Each is gathered with its full sets, a large one by its band buckets
+   instead of as a whole, and there links are decided exactly.
 4. Components of the true links are the result.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Cases: a text with fewer than 5 words is one
@@ -39,7 +39,7 @@ ROWS, SKETCHED = 4, 20
 BITS = 256
 #: The share of pairs at the least similarity that may share no band, and by how many deviations more than the mean of their bits may differ.
 MISS, DEVIATIONS = 4e-7, 6
-#: Shingles that one block of a component may hold.
+#: Shingles that a component, or a bucket of a larger one, may hold to be gathered in one block.
 BLOCK = 2_000_000
 #: Members of a band bucket that are gathered together; the keys of larger buckets are broadcast if there are at most HOT_KEYS.
 BUCKET, HOT_KEYS = 100_000, 100_000
@@ -203,6 +203,16 @@ def bounded(buckets: DataFrame) -> DataFrame:
     return split.select(F.explode(F.when(F.col("many").isNull(), F.array("key")).otherwise(keys)).alias("key"), "did", "sketch")
 
 
+def by_buckets(members: DataFrame) -> DataFrame:
+    """members(root, did, fp, n, bands) of large components as (did, fp, root, blocks): the band buckets in which each meets others.
+
+    So a set goes to its bands at most, however large the component; only a single bucket beyond BLOCK is split into parts that meet in pairs."""
+    rows = members.select("root", "did", "fp", "n", F.explode("bands").alias("key"))
+    count = rows.groupBy("root", "key").agg(F.count("*").alias("count"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("many")).where("count > 1")
+    pairs = meetings("did", F.col("many"), lambda i, j: F.struct(F.col("key").alias("key"), i.alias("i"), j.alias("j")))
+    return rows.join(count, ["root", "key"]).select("did", "fp", "root", pairs.alias("blocks")).groupBy("did", "fp", "root").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+
+
 def full_sets(size: int) -> Callable:
     """(did, body, root, blocks) to (did, set, root, blocks)."""
 
@@ -219,12 +229,12 @@ def full_sets(size: int) -> Callable:
 
 
 def true_links(percent: int) -> Callable:
-    """Rows (root, i, j, did, set) in order of the first three to links (a, b) with percent of the union in common."""
+    """Rows (root, key, i, j, did, set) in order of the first four to links (a, b) with percent of the union in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, 3):
-            at = bounds([rows.column(i).to_numpy() for i in range(3)])
-            did, sets = rows.column(3).to_numpy(), rows.column(4)
+        for rows in grouped(batches, 4):
+            at = bounds([rows.column(i).to_numpy() for i in range(4)])
+            did, sets = rows.column(4).to_numpy(), rows.column(5)
             a, b = [], []
             for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if e - s < 2:
@@ -267,14 +277,16 @@ def near_groups(documents: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     maybe = bounded(buckets).repartition(n, "key").sortWithinPartitions("key", "did").mapInArrow(sketch_links(far_for(percent)), "a long, b long")
     near = components(maybe)
 
-    members = near.withColumnRenamed("node", "did").join(reps.select("did", "fp", "n"), "did")
-    load = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("many"))
-    pairs = meetings("did", F.col("many"), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
-    members = members.join(load, "root").select("did", "fp", "root", pairs.alias("blocks"))
-    gathered = packed(docs.select("did", "fp", "text")).join(members, ["did", "fp"]).select("did", "body", "root", "blocks")
-    sets = gathered.mapInArrow(full_sets(size), "did long, set binary, root long, blocks array<struct<i:int,j:int>>")
-    blocks = sets.select("did", "set", "root", F.explode("blocks").alias("block")).select("root", "block.i", "block.j", "did", "set")
-    links = blocks.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "did").mapInArrow(true_links(percent), "a long, b long")
+    members = near.withColumnRenamed("node", "did").join(reps.select("did", "fp", "n", "bands"), "did")
+    load = members.groupBy("root").agg(F.sum("n").alias("load"))
+    large = cut(load.where(F.col("load") > BLOCK).select("root", F.lit(True).alias("large")))
+    blocks = members.select("did", "fp", "root", F.array(F.struct(F.lit(0).cast("long").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j"))).alias("blocks"))
+    if large.count():
+        blocks = blocks.join(large, "root", "left_anti").unionByName(by_buckets(members.join(large, "root")))
+    gathered = packed(docs.select("did", "fp", "text")).join(blocks, ["did", "fp"]).select("did", "body", "root", "blocks")
+    sets = gathered.mapInArrow(full_sets(size), "did long, set binary, root long, blocks array<struct<key:bigint,i:int,j:int>>")
+    met = sets.select("did", "set", "root", F.explode("blocks").alias("block")).select("root", "block.key", "block.i", "block.j", "did", "set")
+    links = met.repartition(n, "root", "key", "i", "j").sortWithinPartitions("root", "key", "i", "j", "did").mapInArrow(true_links(percent), "a long, b long")
     # an id of several rows is one document: its sets are linked through it
     several = every.where("n > 0 AND fp <> 0").join(reps.select("d1", "d2", F.col("did").alias("rep")), ["d1", "d2"])
     groups = components(links.union(several.where("did <> rep").select(F.col("rep").alias("a"), F.col("did").alias("b"))))

@@ -238,6 +238,24 @@ def test_near_dedup_in_blocks(docs, monkeypatch):
     assert sorted(map(str, near_dedup.near_groups(docs).collect())) == want
 
 
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    """Stars on their least and greatest node, a chain, and scattered links, with nodes of over 20 links as hubs."""
+    from tessera.llm import _runtime
+
+    monkeypatch.setattr(_runtime, "LEAST_HUB", 20)
+    r = random.Random(6)
+    edges = [(1, i) for i in range(2, 300)] + [(999, i) for i in range(400, 700)] + [(i, i + 1) for i in range(2000, 2100)] + [(r.randrange(3000, 5000), r.randrange(3000, 5000)) for _ in range(900)]
+    root = {}
+    find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    got = _runtime.components(spark.createDataFrame(edges + edges[:50], "a long, b long")).collect()
+    assert sorted((x.node, x.root) for x in got) == sorted((i, find(i)) for i in nodes)
+    assert _runtime.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("keys", [0, 100_000])
 def test_near_dedup_splits_large_buckets(docs, spark, monkeypatch, keys):
     words = [f"w{i}" for i in range(200)]
