@@ -94,14 +94,37 @@ def percent(c: Column, places: int = 1, signed: bool = False) -> Column:
 
 
 def json_list(c: Column) -> Column:
-    """A cell with a JSON array of strings, or the same in single quotes; null if it is neither."""
+    """A cell with an array of strings in JSON or as a Python literal; null if it is neither."""
     schema = "array<string>"
-    return F.coalesce(F.from_json(c, schema), F.from_json(F.replace(c, F.lit("'"), F.lit('"')), schema))
+    return F.coalesce(F.from_json(c, schema), F.from_json(literal_json(c), schema))
 
 
 def json_map(c: Column) -> Column:
-    """A cell with a JSON object, its values as text; null if it is none."""
-    return F.coalesce(F.from_json(c, "map<string,string>"), F.from_json(F.replace(c, F.lit("'"), F.lit('"')), "map<string,string>"))
+    """A cell with an object in JSON or as a Python literal, its values as text; null if it is none."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.from_json(literal_json(c), "map<string,string>"))
+
+
+def literal_json(c: Column) -> Column:
+    """A Python literal of lists, tuples, dicts, strings, numbers, True, False and None as JSON text; other text comes out as some text that is no JSON.
+
+    The text is taken apart into strings and what is between them; the patterns are possessive, so long cells need no stack."""
+    parts = F.regexp_extract_all(c, F.lit(r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++|['"]"""), F.lit(0))
+
+    def part(x: Column) -> Column:
+        inner = F.substring(x, 2, F.length(x) - 2)
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        bare = F.translate(x, "()", "[]")
+        for python, other in (("True", "true"), ("False", "false"), ("None", "null")):
+            bare = F.regexp_replace(bare, rf"\b{python}\b", other)
+        bare = F.regexp_replace(bare, r",\s*([\]}])", "$1")
+        return F.when(x.startswith("'") & x.endswith("'") & (F.length(x) > 1), quoted).when(x.startswith('"'), x).otherwise(bare)
+
+    return F.array_join(F.transform(parts, part), "")
+
+
+def first_chars(c: Column, n: int = 200) -> Column:
+    """At most the first n characters of a text, as for a log line."""
+    return F.substring(c.cast("string"), 1, n)
 
 
 def set_hash(items: Column) -> Column:

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> str:
-    """The session's checkpoint folder: that of spark.checkpoint.dir; only where none is set, as in tests, a temporary folder of this machine."""
+    """The session's checkpoint folder: that of spark.checkpoint.dir. Only a session of one machine may do without, and has a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -42,6 +42,11 @@ def changes(current: DataFrame, known: DataFrame, key: str = "id", warm_up: bool
     return found.join(F.broadcast(known.limit(1).select(F.lit(1).alias("_any"))), how="cross").drop("_any")
 
 
+def with_details(found: DataFrame, details: DataFrame, key: str = "id") -> DataFrame:
+    """The details of changed ids, with the reason and old price of the change. An id whose page was not had is left out."""
+    return details.join(found.select(key, "reason", "old_price"), key)
+
+
 def split_known(listed: DataFrame, details: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Listed rows with details, and without."""
     have = details.select(key).distinct()

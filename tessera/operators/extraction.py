@@ -8,13 +8,16 @@ from __future__ import annotations
 import json
 import re
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import truth
+from ..functions.runtime import cut
 from ..functions.vocabulary import FINISHED, PRE_FINISHED, RED_FLAGS, ROUGH
 from .features import cache_key, prompt_text, severe, text_hash
 
@@ -50,8 +53,23 @@ def keyword_answer(text: str) -> str:
     return json.dumps({"finish_type": finish, "red_flags": flags, "premium_markers": [], "extra_attributes": {}}, ensure_ascii=False)
 
 
-def extract(rows: DataFrame, extractor: Callable[[str], str], attempts: int = 5, backoff: float = 0.0) -> DataFrame:
-    """(cache_key, text_hash, text) with result and failed. An empty text gets the empty result without a call; a failed one too, and is marked."""
+def chat(url: str, model: str, instructions: str, max_tokens: int = 600, timeout: float = 120.0) -> Callable[[str], tuple[str, str]]:
+    """An extractor that asks a chat endpoint over HTTP at temperature 0: the answer and why it ended."""
+
+    def extractor(text: str) -> tuple[str, str]:
+        body = {"model": model, "max_tokens": max_tokens, "temperature": 0, "messages": [{"role": "system", "content": instructions}, {"role": "user", "content": text}]}
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310  the caller names the endpoint
+            choice = json.load(answer)["choices"][0]
+        return choice["message"]["content"] or "", choice.get("finish_reason") or ""
+
+    return extractor
+
+
+def extract(rows: DataFrame, extractor: Callable[[str], str | tuple[str, str]], attempts: int = 5, backoff: float = 0.0, concurrency: int = 4) -> DataFrame:
+    """(cache_key, text_hash, text) with result and failed. An empty text gets the empty result without a call; a failed one too, and is marked.
+
+    An extractor gives an answer, or an answer and why it ended: one cut off ("length") is tried again. So many calls run at a time in a task."""
     schema = f"cache_key string, text_hash string, result {RESULT}, failed boolean"
 
     def one(text: str) -> tuple[dict, bool]:
@@ -59,7 +77,9 @@ def extract(rows: DataFrame, extractor: Callable[[str], str], attempts: int = 5,
             return EMPTY, False
         for i in range(attempts):
             try:
-                if found := parse_answer(extractor(text)):
+                answer = extractor(text)
+                answer, ended = answer if isinstance(answer, tuple) else (answer, "")
+                if ended != "length" and (found := parse_answer(answer)):
                     return found, False
             except Exception:  # noqa: BLE001, S110  the extractor's own failure counts as a failed attempt
                 pass
@@ -67,9 +87,10 @@ def extract(rows: DataFrame, extractor: Callable[[str], str], attempts: int = 5,
         return EMPTY, True
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [one(x) for x in batch["text"]]
-            yield pd.DataFrame({"cache_key": batch["cache_key"], "text_hash": batch["text_hash"], "result": [x[0] for x in found], "failed": [x[1] for x in found]})
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                found = list(pool.map(one, batch["text"]))
+                yield pd.DataFrame({"cache_key": batch["cache_key"], "text_hash": batch["text_hash"], "result": [x[0] for x in found], "failed": [x[1] for x in found]})
 
     return rows.select("cache_key", "text_hash", "text").mapInPandas(run, schema)
 
@@ -80,7 +101,7 @@ def analyse(rows: DataFrame, cache: DataFrame, extractor: Callable[[str], str],
     keyed = rows.withColumn("_text", text).withColumns({"_key": cache_key(F.col("_text"), version, instructions), "_hash": text_hash(F.col("_text"), version, instructions)})
     known = cache.select(F.col("cache_key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("result").alias("_hit"))
     misses = keyed.select("_key", "_hash", "_text").dropDuplicates(["_key", "_hash"]).join(known, ["_key", "_hash"], "left_anti")
-    made = extract(misses.select(F.col("_key").alias("cache_key"), F.col("_hash").alias("text_hash"), F.col("_text").alias("text")), extractor, attempts)
+    made = cut(extract(misses.select(F.col("_key").alias("cache_key"), F.col("_hash").alias("text_hash"), F.col("_text").alias("text")), extractor, attempts))
     new = made.select(F.col("cache_key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("result").alias("_made"), "failed")
     joined = keyed.join(known, ["_key", "_hash"], "left").join(new, ["_key", "_hash"], "left").withColumn("_r", F.coalesce("_hit", "_made"))
     out = joined.withColumns(

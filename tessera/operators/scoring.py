@@ -82,6 +82,19 @@ def prepared(targets: DataFrame, pool: DataFrame, recompute_price_m2: bool = Fal
     return cut(t.join(inside, "_id", "left").withColumn("_self", F.coalesce("_self", F.lit(False)))), usable
 
 
+def checked_pool(pool: DataFrame, least: int = 10) -> DataFrame:
+    """The pool, if it has rows, the columns that scoring needs, and enough usable rows; else an error."""
+    missing = sorted({"id", "rooms", "square_m2"} - set(pool.columns))
+    if missing:
+        raise ValueError(f"the reference pool lacks the columns {missing}")
+    if not pool.take(1):
+        raise ValueError("the reference pool is empty")
+    usable = enrich(pool).where("not _excluded").limit(least).count()
+    if usable < least:
+        raise ValueError(f"only {usable} rows of the reference pool are usable; scoring needs {least}")
+    return pool
+
+
 def score(targets: DataFrame, pool: DataFrame, strict: bool = False, recompute_price_m2: bool = False) -> DataFrame:
     """targets with their scores. Doubles are not rounded but where a rounded value is used on; export() rounds.
 

@@ -13,15 +13,46 @@ from ..operators.cleaning import split
 from .tables import exists
 
 
+def swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Writes a new folder beside path and puts it in its place by renaming, so that a failed write leaves the old one whole, also where it is read from.
+
+    A reader sees the old folder, then for the length of two renames none, then the new one."""
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = jvm.java.util.UUID.randomUUID().toString()
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    try:
+        write(new)
+        had = fs.exists(at(path))
+        if had and not fs.rename(at(path), at(old)):
+            raise OSError(f"{path} cannot be moved")
+        if not fs.rename(at(new), at(path)):
+            if had:
+                fs.rename(at(old), at(path))
+            raise OSError(f"{new} cannot be moved to {path}")
+        if had:
+            fs.delete(at(old), True)
+    finally:
+        if fs.exists(at(new)):
+            fs.delete(at(new), True)
+
+
 def snapshot(df: DataFrame, path: str) -> None:
-    """Replaces a CSV folder; an empty one still has its header. Spark's committer makes it visible as a whole."""
-    writer = (df if df.take(1) else df.coalesce(1)).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
-    writer.csv(path)
+    """Replaces a CSV folder as a whole; an empty one still has its header."""
+    rows = df if df.take(1) else df.coalesce(1)
+    swapped(df.sparkSession, path, lambda to: rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(to))
 
 
 def state(df: DataFrame, path: str) -> None:
-    """Replaces a keyed state, kept as Parquet."""
-    df.write.mode("overwrite").parquet(path)
+    """Replaces a keyed state, kept as Parquet, as a whole."""
+    swapped(df.sparkSession, path, lambda to: df.write.parquet(to))
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to a CSV folder; each file has the header. An empty df leaves a header where there is nothing yet."""
+    if df.take(1) or not exists(df.sparkSession, path):
+        df.coalesce(1).write.mode("append").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
 def journal(df: DataFrame, path: str, batch: int | None = None) -> None:

@@ -6,9 +6,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def merged(**sources: DataFrame) -> DataFrame:
+    """Streams (or tables) of several sources as one, each row with its source, for one registry: what one source has sent, another does not send again."""
+    rows = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def sent(candidates: DataFrame, order: list[str]) -> DataFrame:
     """A stream (id, price, ...) to the rows that are new or cheaper than any before of their id; order tells which come first within a batch.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions import vocabulary as V
+from tessera.plans.listings import ORDER, listings, pool, targets
 from tessera.operators import baseline, changes, cleaning, cohort, dedup, extraction, features, notify, sanity, scoring
 
 FIELDS = ["id", "price", "price_m2", "square_m2", "rooms", "storage", "scraped_at", "added_at", "ord"]
@@ -259,3 +260,58 @@ def test_freshness(spark):
     df = rows(spark, [("2026-08-14T06:34:55+00:00", "2020-01-01", 0), ("bad", "2026-08-13", 1), (None, "", 2)], ["a", "b", "ord"])
     got = [r[0] for r in df.orderBy("ord").select(C.freshness("a", "b")).collect()]
     assert got == [datetime(2026, 8, 14, 6, 34, 55), datetime(2026, 8, 13), None]
+
+
+def test_each_miss_is_one_call(spark, tmp_path):
+    """Rows and cache come from the same answers, made once; an answer cut off is tried again."""
+    calls = tmp_path / "calls"
+
+    def extractor(text):
+        with open(calls, "a") as f:
+            f.write("x\n")
+        if "cut" in text and calls.read_text().count("x") % 2:
+            return '{"finish_type": null}', "length"
+        return extraction.keyword_answer(text), "stop"
+
+    rows = spark.createDataFrame([(str(i), f"text {i}") for i in range(5)], "id string, full_description string")
+    for c in ("furniture", "rent_renovation", "suited_for"):
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
+    none = spark.createDataFrame([], f"cache_key string, text_hash string, result {extraction.RESULT}")
+    out, cache = extraction.analyse(rows, none, extractor)
+    assert out.count() == 5 and cache.count() == 5 and calls.read_text().count("x") == 5
+    out.collect(), cache.collect()
+    assert calls.read_text().count("x") == 5
+    calls.write_text("")
+    one_row = rows.limit(1).withColumn("full_description", F.lit("cut"))
+    assert not extraction.analyse(one_row, none, extractor)[0].first().llm_skipped_error and calls.read_text().count("x") == 2
+
+
+def test_a_pool_that_cannot_be_used_is_an_error(spark):
+    pool = spark.createDataFrame([(str(i), "100", "50", "2") for i in range(10)], "id string, price string, square_m2 string, rooms string")
+    assert scoring.checked_pool(pool).count() == 10
+    for bad in (pool.limit(9), pool.limit(0), pool.drop("rooms")):
+        with pytest.raises(ValueError):
+            scoring.checked_pool(bad)
+
+
+def test_the_outbox_keeps_the_cache(spark, tmp_path):
+    """A second batch with the same texts makes no call, whatever the batches' numbers."""
+    from tessera.streaming import cycle
+
+    listed = listings(spark, "/root/testdata/sf0.001")
+    batch = targets(listed).limit(30).withColumn("rent_renovation", F.lit(None).cast("string")).withColumn("suited_for", F.lit(""))
+    calls = tmp_path / "calls"
+    calls.write_text("")
+
+    def extractor(text):
+        with open(calls, "a") as f:
+            f.write("x\n")
+        return extraction.keyword_answer(text)
+
+    folder = str(tmp_path / "out")
+    run = cycle.outbox(folder, source="fast", reason="new", details=None, pool=pool(listed), order=ORDER, now="now", extractor=extractor)
+    run(batch, 3)
+    n = calls.read_text().count("x")
+    assert n > 0
+    run(batch, 7)
+    assert calls.read_text().count("x") == n
