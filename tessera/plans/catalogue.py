@@ -85,7 +85,7 @@ def q_iqr_filter(spark, folder):
 
 
 def _usable(spark, folder):
-    return features.enrich(pool(listings(spark, folder))).where("not _excluded")
+    return features.enrich(listings(spark, folder)).where("not _excluded")
 
 
 def q_segments(spark, folder):
@@ -135,8 +135,8 @@ def q_quality(spark, folder):
 
 
 def q_haversine_pairs(spark, folder):
-    """Distances between a target and the middle of the city, in metres."""
-    rows = targets(listings(spark, folder))
+    """Distances of all rows from the middle of the city, in metres."""
+    rows = listings(spark, folder)
     km = C.haversine_km(F.col("latitude"), F.col("longitude"), F.lit(51.1), F.lit(71.4))
     return rows.select(*_ROW, F.round(km * 1000, 3).alias("metres"))
 
@@ -240,14 +240,18 @@ def q_registry_known(spark, folder):
 
 
 def q_page_title(spark, folder):
+    """Titles, and the page count of the embedded data, which every second page is given."""
     p = table(spark, folder, "pages")
-    return p.select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), P.page_count(F.col("html")).cast("long").alias("pages"))
+    data = F.concat(F.lit('<script>window.digitalData = {"listing": {"pagesCount": '), F.col("page_id") % 50 + 1, F.lit("}};</script>"))
+    html = F.concat(F.when(F.col("page_id") % 2 == 0, data).otherwise(""), F.coalesce("html", F.lit("")))
+    return p.select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), P.page_count(html).cast("long").alias("pages"))
 
 
 def q_page_links(spark, folder):
-    """One row per link in the navigation."""
-    p = table(spark, folder, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)"'), F.lit(1))))
-    return p.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("col").alias("href"))
+    """One row per link in the navigation, which is rewritten as cards."""
+    card = '<div class="a-card" data-id="$1"><div class="a-card__price">$2 ₸</div></div>'
+    p = table(spark, folder, "pages").select(F.col("page_id").alias("page_number"), F.regexp_replace("html", r'<li><a href="([^"]*)">([^<]*)</a>', card).alias("html"))
+    return P.cards(p).select(F.col("page_number").alias("page_id"), F.col("id").alias("href"), F.col("price").alias("number"))
 
 
 def q_page_digits(spark, folder):
@@ -263,18 +267,29 @@ def q_json_props(spark, folder):
 def q_llm_cache_join(spark, folder):
     """Documents against a cache keyed by id and hash of version and text, of which half is stale."""
     rows = table(spark, folder, "documents").select("doc_id", "text").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
-    h = lambda version: features.text_hash(F.col("text"), version, "extract")
-    now = rows.select("doc_id", h("2").alias("hash"))
-    cache = rows.where("quality is not null").select(F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, h("2")).otherwise(h("1")).alias("hash"), F.col("quality").alias("result"))
-    return now.join(cache, ["doc_id", "hash"], "left").select("doc_id", "hash", F.col("result").cast("long").alias("result"), F.col("result").isNotNull().alias("hit"))
+    rows = _described(rows, F.col("text")).withColumn("id", F.col("doc_id").cast("string"))
+    h = lambda version: features.text_hash(features.prompt_text(), version, "extract")
+    found = F.struct(F.lit(V.ROUGH).alias("finish_type"), F.array().cast("array<string>").alias("red_flags"), F.array(F.col("quality").cast("string")).alias("premium_markers"), F.lit("{}").alias("extra_attributes"))
+    known = rows.where("quality is not null")
+    cache = known.select(features.cache_key(features.prompt_text(), "2", "extract").alias("cache_key"), F.when(F.col("doc_id") % 2 == 0, h("2")).otherwise(h("1")).alias("text_hash"), found.alias("result"))
+    out, _ = extraction.analyse(rows, cache, lambda text: '{"finish_type": null}', "2", "extract")
+    hit = F.coalesce(F.col("finish_type") == V.ROUGH, F.lit(False))
+    return out.select("doc_id", features.text_hash(F.col("text"), "2", "extract").alias("hash"), F.get_json_object("premium_markers", "$[0]").cast("long").alias("result"), hit.alias("hit"))
+
+
+def _described(rows, text):
+    """rows with the columns that extraction reads, of which only the description has a text."""
+    return rows.withColumns({"full_description": text, **{c: F.lit(None).cast("string") for c in ("furniture", "rent_renovation", "suited_for")}})
 
 
 def q_red_flags(spark, folder):
-    """Extraction by keywords, validated, and the severe ones."""
-    rows = listings(spark, folder).withColumn("full_description", F.when(F.col("l_partkey") % 3 == 0, "после залив, чистовая").when(F.col("l_partkey") % 3 == 1, "требует капремонта").otherwise("тихий двор"))
+    """Extraction by keywords from every document, to which a phrase is added, validated, and the severe ones."""
+    phrase = F.when(F.col("doc_id") % 3 == 0, " после залив, чистовая").when(F.col("doc_id") % 3 == 1, " требует капремонта").otherwise(" тихий двор")
+    rows = _described(table(spark, folder, "documents").select("doc_id", "text"), F.concat(F.coalesce("text", F.lit("")), phrase))
+    rows = rows.withColumn("id", F.lit("")).withColumn("is_installment_segment", F.lit("False"))
     cache = spark.createDataFrame([], f"cache_key string, text_hash string, result {extraction.RESULT}")
-    out, _ = extraction.analyse(rows.withColumn("rent_renovation", F.lit(None).cast("string")).withColumn("suited_for", F.lit("")).withColumn("id", F.lit("")), cache, extraction.keyword_answer)
-    return extraction.exclude_flagged(out).select(*_ROW, "finish_type", "red_flags", F.col("drop_reason").isNotNull().alias("excluded"))
+    out, _ = extraction.analyse(rows, cache, extraction.keyword_answer)
+    return extraction.exclude_flagged(out).select("doc_id", "finish_type", "red_flags", F.col("drop_reason").isNotNull().alias("excluded"))
 
 
 def q_notification_rows(spark, folder):

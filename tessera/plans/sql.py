@@ -67,6 +67,7 @@ s AS (SELECT *, CASE WHEN pm2 IS NULL THEN 'insufficient_numeric_data' {"WHEN ex
 
 
 _SCORE = _ladder("l_orderkey % 100 <> 0", "l_orderkey % 100 = 0", False)
+_WHOLE = _ladder("true", "false", False)
 # the pool that is scored against itself has one row for each id
 _ONCE = f"l AS (SELECT * FROM ({LISTINGS}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC NULLS LAST, {TIE}) = 1)"
 _SELF = _ladder("true", "l_orderkey % 100 = 0", True).replace(L, _ONCE)
@@ -124,16 +125,16 @@ SELECT {ROW}, NOT kept AS dropped, CASE WHEN kept AND rn > 1 THEN '{V.OTHER_SELL
     "q_iqr_exclusive": f"WITH {L}, {_FENCE} SELECT rooms, n, q1, q3, q1 - (q3 - q1) * 3 AS low, q3 + (q3 - q1) * 3 AS high FROM z",
     "q_iqr_filter": f"""WITH {L.replace('l AS', 'l0 AS')}, l AS (SELECT * REPLACE (price / square_m2 AS price) FROM l0), {_FENCE}
 SELECT {ROW}, coalesce(price < q1 - (q3 - q1) * 3 OR price > q3 + (q3 - q1) * 3, false) AS dropped FROM l LEFT JOIN z USING (rooms)""",
-    "q_segments": f"WITH {_SCORE} SELECT {ROW}, seg AS segment FROM pool",
-    "q_city_median": f"WITH {_SCORE} SELECT rooms, med AS city_median FROM city",
+    "q_segments": f"WITH {_WHOLE} SELECT {ROW}, seg AS segment FROM pool",
+    "q_city_median": f"WITH {_WHOLE} SELECT rooms, med AS city_median FROM city",
     "q_robust_stats": f"WITH {L} SELECT coalesce(trim(finish_type), '-') AS flag, count(*) AS size, median(price / square_m2) AS median, mad(price / square_m2) AS mad FROM l WHERE price / square_m2 IS NOT NULL GROUP BY 1",
-    "q_floor_factor": f"""WITH {_SCORE} SELECT rooms, finish, ne AS n_extreme, nn AS n_normal, round(CASE WHEN ne >= 30 AND nn >= 30 AND mn > 0 THEN greatest(0.9, least(1.0, 0.75::DOUBLE * me / mn + 0.25::DOUBLE * 0.95)) ELSE 0.95 END::DOUBLE, 9) AS factor FROM wide""",
+    "q_floor_factor": f"""WITH {_WHOLE} SELECT rooms, finish, ne AS n_extreme, nn AS n_normal, round(CASE WHEN ne >= 30 AND nn >= 30 AND mn > 0 THEN greatest(0.9, least(1.0, 0.75::DOUBLE * me / mn + 0.25::DOUBLE * 0.95)) ELSE 0.95 END::DOUBLE, 9) AS factor FROM wide""",
     "q_seller_class": f"""WITH {_ENRICH} SELECT {ROW}, seller_class, CASE WHEN owner_name = 'Хозяин' THEN 1.0 WHEN seller_class = 'owner' THEN CASE WHEN is_identity_confirmed = 'True' THEN 1.0 ELSE 0.85 END WHEN regexp_matches(st, 'агент') THEN 0.9 WHEN owner_name <> '' THEN 0.8 ELSE 0.35 END::DOUBLE AS seller_confidence,
   CASE WHEN owner_name = 'Хозяин' THEN 'owner_name=Хозяин' WHEN seller_class = 'owner' THEN 'seller_type указывает на владельца' WHEN regexp_matches(st, 'агент') THEN 'seller_type указывает на агентство/риелтора' WHEN owner_name <> '' THEN 'указано конкретное имя вместо ''Хозяин''' ELSE 'маркер владельца/риелтора не определён' END AS seller_reason FROM e""",
     "q_finish_bucket": f"WITH {_ENRICH} SELECT finish, extreme, rooms, excluded, count(*) AS n FROM e GROUP BY ALL",
     "q_warnings": f"WITH {_ENRICH} SELECT {ROW}, array_to_string(warn, ';') AS data_warnings FROM w",
     "q_quality": f"WITH {_ENRICH} SELECT {ROW}, quality FROM w",
-    "q_haversine_pairs": f"""WITH {L} SELECT {ROW}, round(1000 * 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(51.1) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(51.1)) * pow(sin((radians(71.4) - radians(longitude)) / 2), 2)))), 3) AS metres FROM l WHERE l_orderkey % 100 = 0""",
+    "q_haversine_pairs": f"""WITH {L} SELECT {ROW}, round(1000 * 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(51.1) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(51.1)) * pow(sin((radians(71.4) - radians(longitude)) / 2), 2)))), 3) AS metres FROM l""",
     "q_radius_join": f"WITH {_SCORE}, d AS (SELECT * FROM tt JOIN lev USING (tid)) SELECT {ROW}, sum(near)::BIGINT AS near, sum(far)::BIGINT AS far FROM d WHERE far > 0 GROUP BY {ROW}",
     "q_cohort_ladder": f"WITH {_SCORE} SELECT {ROW}, {_LEVEL}, CASE WHEN status = 'scored' THEN med END AS base_price_m2 FROM s",
     "q_score": f"""WITH {_SCORE} SELECT {ROW}, status, {_VERDICT}, CASE WHEN status = 'scored' THEN ps END AS price_segment, {_LEVEL}, round(corrected, 6) AS base_price_m2_corrected, round(diff, 6) AS diff_pct,
@@ -155,13 +156,14 @@ UNION ALL SELECT id, price, ts, event_id FROM li WHERE id NOT IN (SELECT id FROM
     "q_registry": _REGISTRY,
     "q_registry_known": """WITH o AS (SELECT user_id, min(value) AS m FROM events WHERE event_id % 4 = 0 GROUP BY user_id), n AS (SELECT e.*, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events e WHERE event_id % 4 <> 0)
 SELECT n.user_id::VARCHAR AS id, value AS price, event_id FROM n LEFT JOIN o USING (user_id) WHERE value < least(coalesce(m, 'inf'::DOUBLE), coalesce(b, 'inf'::DOUBLE))""",
-    "q_page_title": "SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) AS title, 1::BIGINT AS pages FROM pages",
-    "q_page_links": """SELECT page_id, unnest(range(0, len(h)))::BIGINT AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS h FROM pages)""",
+    "q_page_title": "SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's')) AS title, (CASE WHEN page_id % 2 = 0 THEN page_id % 50 + 1 ELSE 1 END)::BIGINT AS pages FROM pages",
+    "q_page_links": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages)
+SELECT page_id, href, try_cast(nullif(regexp_replace(label, '[^0-9]', '', 'g'), '') AS BIGINT) AS number FROM h WHERE href <> ''""",
     "q_page_digits": "SELECT page_id, try_cast(nullif(regexp_extract(url, '/(\\d+)(#|$)', 1), '') AS BIGINT) AS number FROM pages",
     "q_json_props": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "q_llm_cache_join": """WITH r AS (SELECT doc_id, text, quality FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT doc_id, quality, sha256('2' || chr(10) || 'extract' || chr(10) || text) AS hash FROM r)
 SELECT doc_id, hash, CASE WHEN doc_id % 2 = 0 THEN quality END::BIGINT AS result, quality IS NOT NULL AND doc_id % 2 = 0 AS hit FROM n""",
-    "q_red_flags": f"""WITH {L} SELECT {ROW}, CASE WHEN l_partkey % 3 = 0 THEN 'чистовая' END AS finish_type, CASE l_partkey % 3 WHEN 0 THEN '["залив"]' WHEN 1 THEN '["требует_капремонта"]' ELSE '[]' END AS red_flags, l_partkey % 3 = 0 AS excluded FROM l""",
+    "q_red_flags": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'чистовая' END AS finish_type, CASE doc_id % 3 WHEN 0 THEN '["залив"]' WHEN 1 THEN '["требует_капремонта"]' ELSE '[]' END AS red_flags, doc_id % 3 = 0 AS excluded FROM documents""",
     "q_notification_rows": f"""WITH {_SCORE}, v AS (SELECT *, {_VERDICT}, {_LEVEL} FROM s) SELECT id, 'new' AS reason, 'fast_track' AS source, '2026-01-01T00:00:00+00:00' AS sent_at, verdict, cohort_level, cohort_size::VARCHAR AS cohort_size, seller_class, array_to_string(warn, ';') AS data_warnings, '' AS url, title
 FROM v WHERE price > 0 AND (verdict = '{V.FIND}' OR verdict = '{V.BY_HAND}' AND diff >= 0.1)""",
     "q_stream_registry": _REGISTRY,
