@@ -16,6 +16,7 @@ are ignored.
 
 from __future__ import annotations
 
+import heapq
 import string
 from collections.abc import Callable, Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batch import LOWER, grams, mix, parts, prefix, slices, utf8, words
+from ._batch import LOWER, grams, mix, parts, prefix, ranges, slices, utf8, words
 
 SHORTEST = 4
 COVERAGE = 0.6
@@ -38,52 +39,80 @@ def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, at
 
 
+#: Pairs of equal windows that are looked at together.
+PAIRS = 1 << 20
+
+
 def tiles(item: np.ndarray, text: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in item, place in text, words) of tiles, longest first."""
+    """Greedy string tiling: (place in item, place in text, words) of tiles. The longest run of unmarked words that both share is marked, of equals the
+    first in the item and then in the text, and so on down to ``shortest``.
+
+    Rounds look for runs of a size and more, which is halved from one to the next. In a round, windows of that size meet by their running hash, the
+    longest run around each is found by binary search over prefix hashes and compared word by word, and a heap gives the runs from the longest; one that a tile has
+    cut goes back with what is left of it."""
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     sums_item, sums_text = prefix(item), prefix(text)
     out: list[tuple[int, int, int]] = []
-
-    def windows(sums: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        used = np.r_[0, np.cumsum(~free)]
-        at = np.flatnonzero(used[size:] == used[:-size])
-        return at, mix(slices(sums, at, at + size))
-
-    size = min(len(item), len(text))
-    while size >= shortest:
-        at_item, h_item = windows(sums_item, free_item, size)
-        at_text, h_text = windows(sums_text, free_text, size)
-        order = np.argsort(h_item, kind="stable")
-        low = np.searchsorted(h_item[order], h_text)
-        high = np.searchsorted(h_item[order], h_text, "right")
-        found = []
-        for t, lo, hi in zip(at_text[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-            for i in at_item[order[lo:hi]].tolist():
-                if i and t and free_item[i - 1] and free_text[t - 1] and item[i - 1] == text[t - 1]:
-                    continue  # part of the match one to the left
-                n = 0
-                while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] and free_item[i + n] and free_text[t + n]:
-                    n += 1
-                if n >= size:
-                    found.append((-n, i, t))
-        for n, i, t in sorted(found):
-            if free_item[i : i - n].all() and free_text[t : t - n].all():
+    size = max(min(len(item), len(text)), shortest)
+    while size >= shortest and size <= min(len(item), len(text)):
+        heap = [(-int(n), int(i), int(t)) for i, t, n in _matches(item, text, sums_item, sums_text, free_item, free_text, size)]
+        heapq.heapify(heap)
+        while heap:
+            n, i, t = heapq.heappop(heap)
+            both = free_item[i : i - n] & free_text[t : t - n]
+            if both.all():
                 free_item[i : i - n] = free_text[t : t - n] = False
                 out.append((i, t, -n))
-        # once more at this size if a tile has cut a match and left that much of it; then at half the size
-        if not _rest(found, free_item, free_text, size):
-            size = max(shortest, size // 2) if size > shortest else 0
+                continue
+            edges = np.flatnonzero(np.diff(np.r_[0, both.astype(np.int8), 0]))
+            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if hi - lo >= size:
+                    heapq.heappush(heap, (lo - hi, i + lo, t + lo))
+        size = max(shortest, size // 2) if size > shortest else 0
     return sorted(out)
 
 
-def _rest(found: list, free_item: np.ndarray, free_text: np.ndarray, size: int) -> bool:
-    """Whether some match that another tile cut still has a free part of this size."""
-    for n, i, t in found:
-        free = free_item[i : i - n] & free_text[t : t - n]
+def _matches(item, text, sums_item, sums_text, free_item, free_text, size: int) -> Iterator[tuple[int, int, int]]:
+    """The runs of at least so many unmarked words that both share and that cannot be made longer."""
+
+    def windows(sums: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         used = np.r_[0, np.cumsum(~free)]
-        if len(free) >= size and (used[size:] == used[:-size]).any():
-            return True
-    return False
+        at = np.flatnonzero(used[size:] == used[:-size])
+        return at, mix(slices(sums, at, at + size))
+
+    def reach(free: np.ndarray) -> np.ndarray:
+        """Where the unmarked run that a place lies in ends."""
+        marked = np.r_[np.flatnonzero(~free), len(free)]
+        return marked[np.searchsorted(marked, np.arange(len(free)))]
+
+    at_item, h_item = windows(sums_item, free_item)
+    at_text, h_text = windows(sums_text, free_text)
+    order = np.argsort(h_item, kind="stable")
+    h_item, at_item = h_item[order], at_item[order]
+    low, high = np.searchsorted(h_item, h_text), np.searchsorted(h_item, h_text, "right")
+    some = np.flatnonzero(low < high)
+    ends_item, ends_text = reach(free_item), reach(free_text)
+    before = np.cumsum(high[some] - low[some])
+    lo = 0
+    while lo < len(some):
+        # so many pairs at a time, or those of one window of the text
+        hi = max(lo + 1, int(np.searchsorted(before, (before[lo - 1] if lo else 0) + PAIRS, "right")))
+        part = some[lo:hi]
+        lo = hi
+        many = high[part] - low[part]
+        i, t = at_item[ranges(low[part], many)], np.repeat(at_text[part], many)
+        inner = (i > 0) & (t > 0)
+        goes_on = inner & free_item[i - 1] & free_text[t - 1] & (item[i - 1] == text[t - 1])
+        i, t = i[~goes_on], t[~goes_on]
+        # the longest common run from there, by binary search over the hashes
+        least, most = np.full(len(i), size), np.minimum(ends_item[i] - i, ends_text[t] - t)
+        while (least < most).any():
+            middle = (least + most + 1) >> 1
+            same = slices(sums_item, i, i + middle) == slices(sums_text, t, t + middle)
+            least, most = np.where(same, middle, least), np.where(same, most, middle - 1)
+        for x, y, n in zip(i.tolist(), t.tolist(), least.tolist(), strict=True):
+            if (item[x : x + n] == text[y : y + n]).all():  # else the hashes misled
+                yield x, y, n
 
 
 class Items:
@@ -94,7 +123,7 @@ class Items:
         offsets = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
         hashes, at = plain_words(np.frombuffer(b"".join(raw), np.uint8), offsets)
         self.ids, self.words = ids, [hashes[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = {}
         by: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
             if len(w):
@@ -104,8 +133,11 @@ class Items:
             item = np.repeat(members, [len(x) for x in h])
             place = np.concatenate([np.arange(len(x)) for x in h])
             h = np.concatenate(h)
-            order = np.argsort(h, kind="stable")
-            self.seeds[size] = h[order], item[order], place[order]
+            order = np.lexsort((item, h))
+            h, item, place = h[order], item[order], place[order]
+            # a seed that an item has several times is one entry with several places
+            heads = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])])
+            self.seeds[size] = h[heads], item[heads], np.split(place, heads[1:])
         self.filters = {}
         for size, (h, _, _) in self.seeds.items():
             self.filters[size] = np.zeros(1 << 20, bool)
@@ -118,7 +150,7 @@ def hits(items: Items, coverage: float, column: pa.Array) -> list[tuple]:
     rows = []
     for lo, hi in parts(offsets):
         hashes, at = plain_words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        for size, (h, item, place) in items.seeds.items():
+        for size, (h, item, places_of) in items.seeds.items():
             g = grams(hashes, size)
             hit = np.flatnonzero(items.filters[size][g >> np.uint64(44)])
             doc = np.searchsorted(at, hit, "right") - 1
@@ -129,13 +161,13 @@ def hits(items: Items, coverage: float, column: pa.Array) -> list[tuple]:
             seen: dict[tuple[int, int], tuple[set, list]] = {}
             for t, d, x, y in zip(hit.tolist(), doc.tolist(), low.tolist(), high.tolist(), strict=True):
                 for k in range(x, y):
-                    places, texts = seen.setdefault((d, int(item[k])), (set(), []))
-                    places.add(int(place[k]))
+                    entries, texts = seen.setdefault((d, int(item[k])), (set(), []))
+                    entries.add(k)
                     texts.append(t)
-            for (d, k), (places, texts) in seen.items():
+            for (d, k), (entries, texts) in seen.items():
                 w = items.words[k]
                 within = np.zeros(len(w), bool)
-                for i in places:
+                for i in np.concatenate([places_of[x] for x in entries]).tolist():
                     within[i : i + size] = True
                 if within.sum() < coverage * len(w):
                     continue
@@ -156,7 +188,7 @@ def tiled(items: Items, coverage: float, ids: str) -> Callable:
             if rows := hits(items, coverage, batch.column(1)):
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(columns[0])), pa.array(columns[1], pa.int64()), pa.array(columns[2]), *(pa.array(x, pa.int64()) for x in columns[3:])],
+                    [batch.column(0).take(pa.array(columns[0])), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), *(pa.array(x, pa.int64()) for x in columns[3:])],
                     names=[ids, "item_id", "coverage", "matched_words", "item_words", "n_tiles"],
                 )
 

@@ -3,7 +3,7 @@
 Each task merges the equal texts of a few megabytes and deals out one row per different text (compressed, with
 its best copy and their number), so a text that a third of all documents share arrives as one row of constant
 size per slice. The receiving task writes its rows to spill files by further bits of the hash, recursively, until a
-file's texts fit an open-addressing table that compares complete contents, and gives one row per text. The
+file's texts, by their true size, fit an open-addressing table that compares complete contents, and gives one row per text. The
 ids meet these rows by the text's digest in a plain join, which the engine splits where many share one; a digest of two
 different contents is an error. Spill files lie in the executor's own scratch folders and die with the task, which
 can be run again anywhere.
@@ -21,6 +21,7 @@ import hashlib
 import itertools
 import os
 import pickle
+import re
 import shutil
 import tempfile
 import zlib
@@ -71,8 +72,9 @@ def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([x[0] for x in best], pa.int64()),
                     pa.array([x[1] for x in best], pa.int64()),
                     pa.array([len(x[1]) for x in groups.values()], pa.int64()),
+                    pa.array([len(x[0]) for x in groups.values()], pa.int64()),
                 ],
-                names=["h", "sha", "body", "points", "did", "copies"],
+                names=["h", "sha", "body", "points", "did", "copies", "size"],
             )
 
 
@@ -127,26 +129,28 @@ class Table:
 
 
 def grouped(rows_of, folder: str, size: int, level: int, limit: int) -> Iterator[tuple[bytes, int, int]]:
-    """rows_of(): (h, sha, body, points, did, copies). Gives (sha, keep, count) of each text."""
-    if size > limit and level < 12:
-        files = [open(os.path.join(folder, f"{level}-{i}"), "wb") for i in range(FAN)]
+    """rows_of(): (h, sha, body, points, did, copies, size). Gives (sha, keep, count) of each text.
+
+    Files are parted again, by a hash that differs from level to level, until the texts of one fit the limit or it holds a single text, which a table has once."""
+    if size > limit and several(rows_of):
+        paths = [os.path.join(folder, f"{level}-{i}") for i in range(FAN)]
+        files = [open(x, "wb") for x in paths]
         sizes = [0] * FAN
         for row in rows_of():
-            part = int.from_bytes(row[1][8 + level : 9 + level], "little") % FAN
+            part = hashlib.blake2b(row[1], digest_size=1, salt=level.to_bytes(16, "little")).digest()[0] % FAN
             pickle.dump(row, files[part], 5)
             sizes[part] += weight(row)
         for f in files:
             f.close()
-        for i, f in enumerate(files):
-            inner = os.path.join(folder, f"{level}-{i}.d")
+        for i, path in enumerate(paths):
+            inner = f"{path}.d"
             os.mkdir(inner)
-            # a file of one text cannot be parted: its table holds that text once
-            yield from grouped(lambda f=f: spilled(f.name), inner, sizes[i] if sizes[i] < size else 0, level + 1, limit)
+            yield from grouped(lambda path=path: spilled(path), inner, sizes[i], level + 1, limit)
             shutil.rmtree(inner)
-            os.remove(f.name)
+            os.remove(path)
         return
     table = Table()
-    for h, sha, body, points, did, copies in rows_of():
+    for h, sha, body, points, did, copies, _ in rows_of():
         table.add(h, sha, zlib.decompress(body), (points, did), copies)
     if len(set(table.digests)) < len(table.digests):
         raise RuntimeError("one digest stands for two texts")
@@ -154,8 +158,16 @@ def grouped(rows_of, folder: str, size: int, level: int, limit: int) -> Iterator
         yield sha, keep, count
 
 
+def several(rows_of) -> bool:
+    """Whether there are rows of more than one text."""
+    rows = iter(rows_of())
+    first = next(rows, None)
+    return first is not None and any(row[1] != first[1] for row in rows)
+
+
 def weight(row) -> int:
-    return 3 * len(row[2]) + 300
+    """What a row takes in a table: its text unpacked, and the row itself."""
+    return row[6] + len(row[2]) + 300
 
 
 def spilled(path: str):
@@ -169,12 +181,12 @@ def spilled(path: str):
 
 def scratch() -> str:
     """A new folder in this executor's scratch space."""
-    spaces = [x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if x]
+    spaces = [x for name in ("SPARK_EXECUTOR_DIRS", "SPARK_LOCAL_DIRS", "LOCAL_DIRS") for x in re.split(r"[,:]", os.environ.get(name, "")) if os.path.isdir(x)]
     return tempfile.mkdtemp(prefix="grace-", dir=spaces[os.getpid() % len(spaces)] if spaces else None)
 
 
 def collected(limit: int):
-    """(h, sha, body, points, did, copies) to a row for each text: sha, keep, group_size."""
+    """(h, sha, body, points, did, copies, size) to a row for each text: sha, keep, group_size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = scratch()
@@ -209,7 +221,7 @@ def exact_groups(documents: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFr
     kind = dict(documents.dtypes)["doc_id"]
     docs = documents.select(F.col("doc_id").cast("long").alias("did"), F.col("text").cast("string").alias("text"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = docs.mapInArrow(dealt, "h long, sha binary, body binary, points long, did long, copies long").repartition(n, "h")
+    parted = docs.mapInArrow(dealt, "h long, sha binary, body binary, points long, did long, copies long, size long").repartition(n, "h")
     groups = parted.mapInArrow(collected(table_bytes), "sha binary, keep long, group_size long")
     found = docs.mapInArrow(members, "sha binary, ids array<long>").join(groups, "sha").select(F.explode("ids").alias("did"), "keep", "group_size", F.lower(F.hex("sha")).alias("text_sha256"))
     real = lambda c: F.when(F.col(c) != NULL, F.col(c)).cast(kind)
