@@ -3,7 +3,8 @@
 A capture is written as three records: the response (or a revisit, if another record holds the same
 payload), the request and a metadata record; the latter two name the first in WARC-Concurrent-To.
 Archives are WARC/1.1 files, gzipped unless told otherwise, written by Spark's text writer (a record ends with CR LF CR LF,
-which is that writer's line separator) and read by Spark's binary reader, so any store that Spark reaches will do.
+which is that writer's line separator) and read by Spark's text reader with the same separator: records are put together from its pieces by their
+Content-Length as they stream by, so an archive may be of any size and a task holds one record at a time. Any store that Spark reaches will do.
 Payloads cross shuffles compressed.
 
 Of equal payloads (by SHA-1 over the whole payload) of at least ``least`` bytes, the capture with the largest
@@ -30,12 +31,14 @@ from ._runtime import cut, shared_folder
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: At most so many captures go to one archive, which is read as a whole.
+#: At most so many captures go to one archive. Gzipped archives are read by one task each.
 FILE_CAPTURES = 5000
+#: Bytes of records that are handed on together.
+HANDED = 4 << 20
 #: Equal rows are numbered in runs of so many, which are dealt out; as many keys of equal rows are broadcast.
 RUN = 1000
 PARTS = ("response", "request", "metadata")
-RECORD = "archive string, record_id string, type string, concurrent_to string, refers_to_id string, target_uri string, digest string, headers map<string,string>, block binary"
+RECORD = "archive string, record_id string, type string, concurrent_to array<string>, refers_to_id string, target_uri string, digest string, headers map<string,string>, block binary"
 
 
 def base32(sha1: bytes) -> str:
@@ -52,7 +55,7 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page_id, copy, url, packed html, digest as hex, page and copy referred to or null, number among equal rows) to the text of three records."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        out = []
+        out, held = [], 0
         for page, copy, url, body, sha, other, again, number in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             html = unpack(body).decode("utf-8", "surrogatepass")
             page, other = ("" if x is None else x for x in (page, other))
@@ -78,7 +81,12 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ]
                 )
             )
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            held += len(out[-1])
+            if held > HANDED:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
 def numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -117,45 +125,89 @@ def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip"
     writer.option("compression", compression).text(path)
 
 
+class Assembly:
+    """Records from pieces of archives that were parted at each CR LF CR LF, in order."""
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+        self.head: list[tuple[str, str]] | None = None  # of the record whose block is being gathered
+        self.block, self.size, self.need = [], 0, 0
+
+    def add(self, path: str, piece: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+        """(headers, block) of the records that the piece completes."""
+        if path != self.path:
+            self.path, self.head = path, None
+        while True:
+            if self.head is None:
+                piece = piece.lstrip(b"\r\n")
+                if not piece:
+                    return
+                if not piece.startswith(b"WARC/"):
+                    raise ValueError(f"{path}: no record where one should begin")
+                lines = piece.decode("utf-8", "replace").split("\r\n")[1:]
+                self.head = [tuple(x.partition(": ")[::2]) for x in lines]
+                self.need = next(int(v) for k, v in self.head if k.lower() == "content-length")
+                self.block, self.size = [], 0
+                if self.need:
+                    return
+                rest = b""
+            else:
+                if self.block:
+                    piece = END.encode() + piece
+                self.block.append(piece)
+                self.size += len(piece)
+                if self.size < self.need:
+                    return
+                whole = b"".join(self.block)
+                self.block, rest = [whole[: self.need]], whole[self.need :]
+            yield self.head, b"".join(self.block)
+            self.head, piece = None, rest
+
+
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, content) of archives to their records."""
-    names = [x.strip().split()[0] for x in RECORD.replace("map<string,string>", "map").split(",")]
-    kinds = [pa.string()] * 7 + [pa.map_(pa.string(), pa.string()), pa.binary()]
-    clean = lambda x: None if x is None else x.strip().strip("<>")
+    """(path, piece) of archives, whole or parted at the separator, to their records."""
+    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    names = ["archive", "record_id", "type", "concurrent_to", "refers_to_id", "target_uri", "digest", "headers", "block"]
+    clean = lambda x: x.strip().strip("<>")
     pack = zstandard.ZstdCompressor(level=1).compress
+    assembly, rows, held = Assembly(), [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
     for batch in batches:
-        for i in range(batch.num_rows):
-            path, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""
-            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-            at, rows, held = 0, [], 0
-            while (begin := data.find(b"WARC/1.", at)) >= 0:
-                end = data.index(b"\r\n\r\n", begin)
-                lines = data[begin:end].decode("utf-8", "replace").split("\r\n")[1:]
-                headers = dict(tuple(x.partition(": ")[::2]) for x in lines)
-                size = int(headers["Content-Length"])
-                block = data[end + 4 : end + 4 + size]
-                at = end + 4 + size
+        pieces = batch.column(1).cast(pa.binary())
+        for path, piece in zip(batch.column(0), pieces, strict=True):
+            path = path.as_py()
+            for head, block in (found for x in (piece.as_py() or b"").split(END.encode()) for found in assembly.add(path, x)):
+                headers = dict(head)
+                of = lambda k: None if k not in headers else clean(headers[k])  # noqa: B023, E731
                 digest = headers.get("WARC-Payload-Digest")
-                rows.append((path, clean(headers["WARC-Record-ID"]), headers["WARC-Type"], clean(headers.get("WARC-Concurrent-To")), clean(headers.get("WARC-Refers-To")), headers.get("WARC-Target-URI"), digest and digest.partition(":")[2], list(headers.items()), pack(block)))
-                held += size
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                together = [clean(v) for k, v in head if k == "WARC-Concurrent-To"]
+                rows.append((path, of("WARC-Record-ID"), headers["WARC-Type"], together, of("WARC-Refers-To"), headers.get("WARC-Target-URI"), digest and digest.partition(":")[2], list(headers.items()), pack(block)))
+                held += len(block)
+                if held > HANDED or len(rows) >= 5000:
+                    yield out()
                     rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    if rows:
+        yield out()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in a folder; block is packed (zstd)."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parsed, RECORD)
+    """One row per record of the gzipped archives in a folder; block is packed (zstd). Archives that are not gzipped are read as a whole, and must be below 2 GB."""
+    stream = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,txt}").load(path).select("path", "content")
+    return stream.mapInArrow(parsed, RECORD).union(plain.mapInArrow(parsed, RECORD))
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unpacks the blocks in capture_id, response, request, metadata, and adds size and digest of a response's payload."""
     unpack = zstandard.ZstdDecompressor().decompress
     for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            batch = whole.slice(lo, 500)
+        # so many bytes of blocks at a time
+        size = sum(np.array([0 if x is None else zstandard.frame_content_size(x) for x in whole.column(1 + i).field("block").to_pylist()], np.int64) for i in range(len(PARTS)))
+        lo, ends = 0, np.cumsum(size)
+        while lo < whole.num_rows:
+            hi = max(lo + 1, min(lo + 500, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HANDED, "right"))))
+            batch = whole.slice(lo, hi - lo)
+            lo = hi
             columns, found = [batch.column(0)], []
             for c in (batch.column(1 + i) for i in range(len(PARTS))):
                 children = dict(zip((f.name for f in c.type), c.flatten(), strict=True))
@@ -163,7 +215,8 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns.append(pa.StructArray.from_arrays(list(children.values()), list(children), mask=pa.array(~np.asarray(c.is_valid()))))
             response = columns[1]
             for kind, block in zip(response.field("type").to_pylist(), response.field("block").to_pylist(), strict=True):
-                payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
+                at = block.find(b"\r\n\r\n") if kind == "response" else -1
+                payload = memoryview(block)[at + 4 :] if at >= 0 else None
                 found.append((None, None) if payload is None else (len(payload), base32(hashlib.sha1(payload).digest())))
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())],
@@ -174,13 +227,13 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def transactions(read_records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response (the response or revisit), request, metadata, and payload_bytes and payload_digest as measured on a response's payload.
 
-    Requests and metadata join the record that their WARC-Concurrent-To names. A request whose response is missing
-    still makes a row, with a null response."""
+    A response or revisit is a capture by its own name; requests and metadata join each record that their WARC-Concurrent-To headers name, and of several of a
+    kind the first by name is taken. A request whose response is missing still makes a row, with a null response."""
     part = F.struct("record_id", "type", "refers_to_id", "target_uri", "digest", "headers", "block")
-    key = F.coalesce("concurrent_to", "record_id")
     main = F.col("type").isin("response", "revisit")
-    first = lambda where: F.first(F.when(where, part), ignorenulls=True)
-    rows = read_records.where(F.col("type").isin("response", "revisit", "request", "metadata")).groupBy(key.alias("capture_id")).agg(
+    keys = F.when(main | (F.size("concurrent_to") == 0), F.array("record_id")).otherwise(F.array_distinct("concurrent_to"))
+    first = lambda where: F.min_by(F.when(where, part), F.when(where, F.col("record_id")))
+    rows = read_records.where(F.col("type").isin("response", "revisit", "request", "metadata")).withColumn("capture_id", F.explode(keys)).groupBy("capture_id").agg(
         first(main).alias("response"), first(F.col("type") == "request").alias("request"), first(F.col("type") == "metadata").alias("metadata")
     )
     return rows.mapInArrow(opened, f"{rows.schema.simpleString()[7:-1]},payload_bytes:bigint,payload_digest:string")

@@ -463,6 +463,46 @@ def test_warc_keeps_repeated_rows(spark, tmp_path, monkeypatch):
     assert {x.capture.response.refers_to_id for x in captures} - {None} <= {x.capture.response.record_id for x in captures if x.capture.response.type == "response"}
 
 
+def test_warc_pieces_make_records():
+    """Blocks that begin, end and are filled with the separator come back whole, whatever follows them."""
+    blocks = [b"", b"a", b"\r\n", b"a\r\n", b"\r\n\r\n", b"x\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\ny", b"\r\n\r\n\r\n", b"\r\r\n\r\n\r", b"\xff\x00\n"]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(x) + x + b"\r\n\r\n" for x in blocks)
+    assembly = warc.Assembly()
+    got = [block for path in "ab" for piece in data.split(b"\r\n\r\n") for _, block in assembly.add(path, piece)]
+    assert got == blocks * 2
+    with pytest.raises(ValueError):
+        list(assembly.add("c", b"no record"))
+
+
+def test_warc_archives_of_others(spark, tmp_path):
+    """Several requests and headers, a response that names its request, and archives that are not gzipped."""
+    import gzip
+
+    def one(kind, name, block, *fields):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    data = [
+        one("warcinfo", "i", b"software: x\r\n"), one("response", "r1", b"HTTP/1.1 200 OK\r\n\r\nbody\r\n", ("WARC-Concurrent-To", "<q1>")),
+        one("request", "q2", b"GET /2", ("WARC-Concurrent-To", "<r1>")), one("request", "q1", b"GET /1", ("WARC-Concurrent-To", "<r1>"), ("WARC-Concurrent-To", "<m>")),
+        one("metadata", "m", b"k: v", ("WARC-Concurrent-To", "<r1>")), one("response", "r2", b"no head"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in data[:3]))
+    (tmp_path / "b.warc").write_bytes(b"".join(data[3:]))
+    got = {x.capture_id: x for x in warc.transactions(warc.read(spark, str(tmp_path))).collect()}
+    assert set(got) == {"r1", "r2", "m"}
+    assert (got["r1"].payload_bytes, got["r1"].request.record_id, got["r1"].metadata.record_id) == (6, "q1", "m")
+    assert got["r1"].payload_digest == base64.b32encode(hashlib.sha1(b"body\r\n").digest()).decode()
+    assert got["r2"].payload_bytes is None and got["m"].response is None and got["m"].request.record_id == "q1"
+
+
+def test_warc_of_large_pages(spark):
+    """Pages of several megabytes, more of them than are handed on together."""
+    rows = [(i, f"u{i}", (f"{i} " + "<p>\r\n\r\n" * 3) * (400_000 if i % 3 else 4)) for i in range(24)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type) for x in warc.round_trip(table).drop("capture").collect()}
+    assert got == {i: (len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), "response") for i, _, t in rows}
+
+
 def brute_secrets(text):
     spans = []
     for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
