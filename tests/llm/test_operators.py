@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, secrets, substring_dedup, suffix_dedup, warc
 
@@ -594,5 +595,26 @@ def test_mixing_meets_the_targets(spark, docs, none):
     assert mixing.mix(docs).columns == [*docs.columns, "topic", "n_tokens", "probability", "sample_weight"]
     assert mixing.mix(docs).count() <= len(ROWS) and mixing.mix(none).count() == 0
     assert mixing.mix(table, {**targets, "lang": {"fr": 1.0}}).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(table, {"source": {str(i): 1 for i in range(20_000)}})
+    assert mixing.mix(table.withColumn("kind", F.lit("poem")), {**targets, "topic": {"poem": 1.0}}, topic_of="kind").first().topic == "poem"
+
+
+def test_mixing_comes_near_its_targets(spark, monkeypatch):
+    """Margins end within the tolerance, however many cells there are and however raking is done; contradictory targets end too."""
+    r = random.Random(14)
+    rows = [(i if i % 50 else None, "w " * r.randint(1, 20) + str(i), r.choice(["en"] * 8 + ["de", "fr"]), r.choice(["a"] * 9 + ["b", "c"])) for i in range(2000)]
+    rows += [(10**6, "w " * 5000, "en", "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"en": 0.2, "de": 0.5, "*": 0.3}, "topic": {"prose": 1.0}}
+    want = {"a": 0.2, "b": 0.3, "c": 0.5, "en": 0.2, "de": 0.5, "*": 0.3, "prose": 1.0}
+    near = mixing.balance(table, targets, rounds=2).collect()
+    assert all(abs(x.reached - want[x.value]) <= mixing.TOLERANCE and x.off <= mixing.TOLERANCE for x in near) and len(near) == 7
+    once = sorted((str(x.doc_id), x.text, round(x.probability, 6)) for x in mixing.mix(table, targets, rounds=4).collect())
+    assert 5 < sum(x[0] == "None" for x in once) < 40  # rows without an id are drawn one by one
+    monkeypatch.setattr(mixing, "ONE_ROW", 1)
+    assert sorted((str(x.doc_id), x.text, round(x.probability, 6)) for x in mixing.mix(table, targets, rounds=4).collect()) == once
+    monkeypatch.undo()
+    split = spark.createDataFrame([(1, "x x", "en", "a"), (2, "y", "de", "b")], "doc_id long, text string, lang string, source string")
+    off = mixing.balance(split, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, rounds=2).collect()
+    assert max(x.off for x in off) > 0.1
+    many = {"source": {**{str(i): 1.0 for i in range(12_000)}, "a": 12_000.0}}
+    assert mixing.mix(table, many, rounds=1).where("source = 'a'").count() > 0
