@@ -18,12 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._batch import SPACE, mix, parts, utf8, words
-from ._runtime import cut
+from ._runtime import cut, shared_folder
 
 STATISTICS = (
     "log_chars", "log_words", "upper", "digits", "marks", "odd_marks", "bars", "high", "distinct", "top", "runs", "twos", "threes",
@@ -33,7 +35,7 @@ WIDTH = 384
 RIDGE = 1e-3
 THRESHOLD = 0.7
 BINS = 2000
-#: Partial sums of the normal equations come from at most so many tasks.
+#: Partial sums of the normal equations come from the shuffle partitions, or so many tasks if those are fewer.
 PARTIALS = 64
 
 
@@ -86,7 +88,7 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     columns = [
         np.log1p(n), np.log1p(count), total(_UPPER[buf]) / letters, total(_DIGIT[buf]) / np.maximum(n, 1), total(_MARK[buf]) / np.maximum(n, 1),
         total(_ODD[buf]) / np.maximum(n, 1), total(buf == 124) / safe, total(buf >= 128) / np.maximum(n, 1), distinct / safe, top / safe, total(same(1), at) / safe,
-        1 - kinds / pairs * (count > 1), most / pairs, mean, np.sqrt(np.maximum(total(length**2, at) / safe - mean**2, 0)), total(length <= 3, at) / safe,
+        (1 - kinds / pairs) * (count > 1), most / pairs, mean, np.sqrt(np.maximum(total(length**2, at) / safe - mean**2, 0)), total(length <= 3, at) / safe,
         np.log1p(count / (1 + total(buf == 10))), total(letter_sums[e] == letter_sums[s], at) / safe, share, total(same(2), at) / safe,
     ]
     return np.stack(columns, axis=1)
@@ -177,7 +179,7 @@ def fit(x: DataFrame, labels: DataFrame, width: int = WIDTH, ridge: float = RIDG
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), _lists(np.stack(list(total.values())))], names=["i", "row"])
 
-    partial = train.where("rest <> 3").select("x", "y").coalesce(PARTIALS).mapInArrow(equations, "i int, row array<double>")
+    partial = train.where("rest <> 3").select("x", "y").coalesce(max(PARTIALS, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(equations, "i int, row array<double>")
     rows = partial.repartition(8, "i").mapInArrow(added, "i int, row array<double>").collect()
     system = np.zeros((size, size + 1))
     for i, row in rows:
@@ -228,15 +230,30 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of documents, whole, that reach the threshold. Scored in one pass: no join, no shuffle of texts."""
-    model = fit(measure(documents), labels)
-    at = documents.columns.index("text")
+    """The rows of documents, whole, that reach the threshold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = utf8(batch.column(at))
-            good = [model.score(statistics(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) >= threshold for lo, hi in parts(offsets)]
-            if good:
-                yield batch.filter(pa.array(np.concatenate(good)))
+    Texts are measured once: the rows and their statistics are written as a table in the shared folder, of which the fit reads the statistics alone."""
+    spark = documents.sparkSession
+    at, x = documents.columns.index("text"), "x"
+    while x in documents.columns:
+        x = f"_{x}"
+    width = len(STATISTICS)
 
-    return documents.mapInArrow(run, documents.schema)
+    def with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = utf8(batch.column(at).cast(pa.string()))
+            for lo, hi in parts(offsets):
+                found = _lists(statistics(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, found], names=[*batch.schema.names, x])
+
+    path = shared_folder(spark, "measured")
+    schema = T.StructType([*documents.schema.fields, T.StructField(x, T.ArrayType(T.DoubleType()))])
+    documents.mapInArrow(with_statistics, schema).write.parquet(path)
+    whole = spark.read.parquet(path)
+    model = fit(whole.select("doc_id", F.col(x).alias("x")), labels)
+
+    @F.pandas_udf("double")
+    def score_of(column: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(column.to_list()).reshape(-1, width)) if len(column) else np.zeros(0))
+
+    return whole.where(score_of(F.col(x)) >= threshold).select(*documents.columns)

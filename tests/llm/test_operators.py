@@ -413,6 +413,71 @@ def test_quality(spark, docs, none):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def plain_statistics(text):
+    """quality.STATISTICS of one text, word by word."""
+    b = text.encode()
+    w = b.split()
+    letter = lambda c: 65 <= c < 91 or 97 <= c < 123 or c >= 128
+    digit = lambda c: 48 <= c < 58
+    mark = lambda c: not letter(c) and not digit(c) and c not in b" \t\n\r\x0b\x0c"
+    n, m = max(len(b), 1), max(len(w), 1)
+    letters = max(sum(map(letter, b)), 1)
+    pairs = list(zip(w, w[1:], strict=False))
+    size = [len(x) for x in w]
+    mean = sum(size) / m
+    ended = sum(mark(x[-1]) for x in w) / m
+    most = lambda x: max((x.count(y) for y in set(x)), default=0)
+    return {
+        "log_chars": math.log1p(len(b)), "log_words": math.log1p(len(w)), "upper": sum(65 <= c < 91 for c in b) / letters, "digits": sum(map(digit, b)) / n, "marks": sum(map(mark, b)) / n,
+        "odd_marks": sum(mark(c) and c not in b".,;:'\"-()" for c in b) / n, "bars": b.count(b"|") / m, "high": sum(c >= 128 for c in b) / n, "distinct": len(set(w)) / m, "top": most(w) / m,
+        "runs": sum(x == y for x, y in pairs) / m, "twos": (1 - len(set(pairs)) / len(pairs)) if pairs else 0.0, "threes": most(pairs) / max(len(pairs), 1), "word_length": mean,
+        "word_spread": math.sqrt(max(sum(x * x for x in size) / m - mean**2, 0)), "short": sum(x <= 3 for x in size) / m, "line_length": math.log1p(len(w) / (1 + b.count(b"\n"))),
+        "no_letters": sum(not any(map(letter, x)) for x in w) / m, "ends_marked": ended, "marks_spread": sum(x == y for x, y in zip(w, w[2:], strict=False)) / m,
+    }
+
+
+def test_quality_against_plain_sums(spark):
+    """Statistics text by text, the ridge weights from whole matrices, the isotonic curve by its minimax formula, and the scores from them."""
+    import numpy as np
+
+    r = random.Random(17)
+    word = lambda: r.choice(["alpha", "Beta", "ga,", "x9", "é|", "!!", "no.", "ABC"])
+    texts = ["", None, "one", "a a a a", "é" * 40, " \n\t"] + [r.choice([" ", "\n"]).join(word() for _ in range(r.randint(1, 60))) for _ in range(700)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    marked = [(i, int(r.random() < (0.8 if (t or "").count("!") % 2 else 0.3))) for i, t in enumerate(texts) if i % 5]
+    labels = spark.createDataFrame(marked, "doc_id long, quality int")
+    measured = quality.measure(table)
+    x = np.array([[plain_statistics(t or "")[k] for k in quality.STATISTICS] for t in texts])
+    got = {row.doc_id: row.x for row in measured.collect()}
+    assert np.allclose(np.array([got[i] for i in range(len(texts))]), x, atol=1e-6)  # a root of a difference
+    model = quality.fit(measured, labels, width=48)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-9))
+    rest = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in marked}
+    z = np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9), -6, 6)
+    z = np.hstack([np.sqrt(2 / 48) * np.cos(z @ model.directions + model.phases), z / 10, np.ones((len(z), 1))])
+    fit = [(i, y) for i, y in marked if rest[i] < 2]
+    a, y = z[[i for i, _ in fit]], np.array([y for _, y in fit])
+    # the same system as least squares with as many rows more as weights
+    wide = a.shape[1]
+    weights = np.linalg.lstsq(np.vstack([a, np.sqrt(quality.RIDGE * len(a) / wide) * np.eye(wide)]), np.r_[y, np.zeros(wide)], rcond=None)[0]
+    raw = z @ weights
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    bins = {}
+    for i, y in marked:
+        if rest[i] == 3:
+            bins.setdefault(int(np.clip(np.floor((raw[i] + 1) * (quality.BINS / 3)), 0, quality.BINS - 1)), []).append((raw[i], y))
+    bins = [bins[k] for k in sorted(bins)]
+    total, count = np.cumsum([0] + [sum(y for _, y in b) for b in bins]), np.cumsum([0] + [len(b) for b in bins])
+    level = [max(min((total[k] - total[h]) / (count[k] - count[h]) for k in range(j + 1, len(bins) + 1)) for h in range(j + 1)) for j in range(len(bins))]
+    centre = {}
+    for b, v in zip(bins, level, strict=True):
+        centre.setdefault(round(v, 12), []).extend(p for p, _ in b)
+    knots = [(sum(v) / len(v), k) for k, v in sorted(centre.items())]
+    want = np.clip(np.interp(raw, [k for k, _ in knots], [v for _, v in knots]), 0, 1)
+    scores = {row.doc_id: row.score for row in quality.scored(measured, model).collect()}
+    assert np.allclose([scores[i] for i in range(len(texts))], want, atol=1e-5) and want.std() > 0.05
+
+
 def test_licences(spark, docs, none):
     rows = [(1, "Intro\nlicensed under the apache license, version 2.0\n\nend"), (2, "Released under the MIT license!"), (3, "This is not a notice."), (4, None), (5, ""), (None, "Released under the MIT license."), (6, "One line\n\ntwo lines here\nthree")]
     table = spark.createDataFrame(rows, "doc_id long, text string")

@@ -13,8 +13,62 @@ def stages():
     return pytest.importorskip("corpus_pipeline").STAGES
 
 
+def shingles(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def near_roots(rows):
+    """The least id that each of rows (id, text) reaches by links of 0.8, by an index of all shingles."""
+    sets = {i: shingles(t) for i, t in rows}
+    at, root = {}, {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        met = {}
+        for x in s:
+            for j in at.setdefault(x, []):
+                met[j] = met.get(j, 0) + 1
+            at[x].append(i)
+        for j, n in met.items():
+            if n * 10 >= 8 * (len(s) + len(sets[j]) - n) and (a := find(i)) != (b := find(j)):
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def coverage(item, words, shortest):
+    """The words of item in greedy tiles, the longest first, on diagonals of equal words."""
+    free_i, free_w, out = [True] * len(item), [True] * len(words), 0
+    places = {}
+    for t, x in enumerate(words):
+        places.setdefault(x, []).append(t)
+    while True:
+        runs, best, at = {}, 0, None
+        for i in range(len(item) - 1, -1, -1):
+            new = {}
+            for t in places.get(item[i], []):
+                if free_i[i] and free_w[t]:
+                    new[t] = n = runs.get(t + 1, 0) + 1
+                    if n > best or n == best and (i, t) < at:
+                        best, at = n, (i, t)
+            runs = new
+        if best < shortest:
+            return out
+        free_i[at[0] : at[0] + best] = free_w[at[1] : at[1] + best] = [False] * best
+        out += best
+
+
 def test_stages(spark, stages, tmp_path):
-    from tessera.llm import decontaminate, exact_dedup, near_dedup, quality
+    """Each stage against a plain version of it on all that the one before kept: quality by scores of the query, the others by brute force, mixing by its SQL."""
+    import string
+
+    import duckdb
+
+    from tessera.llm import mixing, quality
 
     source = spark.read.parquet(f"{DATA}/documents.parquet")
     docs, columns = source, source.columns
@@ -25,22 +79,57 @@ def test_stages(spark, stages, tmp_path):
             assert out.columns == columns
         out.write.parquet(str(tmp_path / name))
         before, docs = docs, spark.read.parquet(str(tmp_path / name))
-        ids, rest = ({r.doc_id for r in x.select("doc_id").collect()} for x in (docs, before))
-        assert ids <= rest
-        kept[name] = (before, rest, ids)
-    before, rest, ids = kept["quality"]
-    scores = quality.score(before, spark.read.parquet(f"{DATA}/labels.parquet")).collect()
+        rows = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert ids <= set(rows) and ids
+        kept[name] = (rows, ids)
+    rows, ids = kept["quality"]
+    scores = quality.score(source, spark.read.parquet(f"{DATA}/labels.parquet")).collect()
     assert ids == {r.doc_id for r in scores if r.predicted}
-    before, rest, ids = kept["exact_dedup"]
-    assert ids == {r.doc_id for r in exact_dedup.exact_groups(before).collect() if r.kept}
-    texts = {"".join(r.text.split()) for r in before.collect()}
-    assert len(ids) == len(texts)
-    before, rest, ids = kept["near_dedup"]
-    assert ids == {r.doc_id for r in near_dedup.near_groups(before).collect() if r.kept}
-    before, rest, ids = kept["decontaminate"]
-    found = {r.doc_id for r in decontaminate.overlaps(before, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
-    assert ids == rest - found
-    assert {"topic", "n_tokens", "probability", "sample_weight"} <= set(docs.columns) and docs.count() > 0
+    rows, ids = kept["exact_dedup"]
+    best = {}
+    for i, t in rows.items():
+        best.setdefault("".join((t or "").split(" ")).translate({k: None for k in range(9, 14)}), []).append((-len(t or ""), i))
+    assert ids == {min(x)[1] for x in best.values()}
+    rows, ids = kept["near_dedup"]
+    assert ids == {i for i, root in near_roots(rows.items()).items() if i == root}
+    rows, ids = kept["decontaminate"]
+    plain = str.maketrans(string.punctuation, " " * len(string.punctuation))
+    words = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "").translate(plain)).split()
+    items = [words(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    starts = [(w, min(4, len(w)), {tuple(w[k : k + min(4, len(w))]) for k in range(len(w) - min(4, len(w)) + 1)}) for w in items if w]
+    dirty = set()
+    for i, t in rows.items():
+        w = words(t)
+        grams = {n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in {x[1] for x in starts}}
+        if any(seeds & grams[n] and coverage(item, w, n) >= 0.6 * len(item) for item, n, seeds in starts):
+            dirty.add(i)
+    assert ids == set(rows) - dirty
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/decontaminate/*.parquet')")
+    want = con.sql(mixing.sql()).fetchall()
+    assert kept["mix"][1] == {r[0] for r in want}
+    assert {"topic", "n_tokens", "probability", "sample_weight"} <= set(docs.columns)
+
+
+def test_empty_odd_and_long_documents(spark, stages, tmp_path):
+    """Extra columns with the operators' own names, nulls in every column, a very long text, repeated rows, and no rows at all."""
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "word " * 200_000, "en", "src0", 1), (2, None, None, None, None), (None, None, None, None, None), (3, "a plain text about nothing, at length and in order", "en", "src1", 5)] * 2
+    made = {c: F.lit(1) for c in ("did", "fp", "v", "a", "c", "n", "root", "key", "body", "topic", "w", "score", "_kept", "keep", "rep")}
+    docs = spark.createDataFrame(rows, schema).withColumns(made)
+    labels = tmp_path / "sf"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(str(labels / f"{name}.parquet"))
+    for name, stage in stages:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, str(labels))
+            n = out.count()
+            assert n <= table.count() and (name == "mix" or out.columns == table.columns)
+            if name == "decontaminate" and n:
+                assert n == 8
 
 
 def test_rows_without_an_id(spark, stages, tmp_path):
