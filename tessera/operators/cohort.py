@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
 from ..functions.runtime import cut
+from .ranks import quantiles, ranked
 from ..functions.vocabulary import (
     BUSINESS, COMFORT, EARTH_KM, ECONOMY, FAR_BAND, FAR_KM, FLOOR_DEFAULT, FLOOR_HIGH, FLOOR_LOW, LEAST_COHORT, LEAST_FLOOR, LEAST_SEGMENT_POOL, NEAR_KM,
 )
@@ -29,24 +30,20 @@ def segment(value: Column, n: Column, q25: Column, q75: Column) -> Column:
 
 
 def quartiles(pool: DataFrame, *keys: str) -> DataFrame:
-    """n, inclusive quartiles q (q25, q75), and the order statistics that leaving one row out needs (os)."""
-    counted = pool.groupBy(*keys).agg(F.count("_price_m2").alias("n"))
-    if not keys:
-        counted = counted.withColumn("_all", F.lit(1))
-        pool = pool.withColumn("_all", F.lit(1))
-    by = list(keys) or ["_all"]
-    found = pool.groupBy(*by).agg(F.percentile("_price_m2", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return counted.join(found, by)
+    """n and the inclusive quartiles q (q25, q75) of each key; without keys one row, with _all."""
+    found = quantiles(pool, list(keys), "_price_m2", {"q25": 0.25, "q75": 0.75})
+    return found.select(*(keys or [F.lit(1).alias("_all")]), "n", F.array("q25", "q75").alias("q"))
 
 
 def city_medians(pool: DataFrame) -> DataFrame:
-    return pool.groupBy("_rooms").agg(F.median("_price_m2").alias("city_median"))
+    medians = quantiles(pool, ["_rooms"], "_price_m2", {"city_median": 0.5}).drop("n")
+    return pool.select("_rooms").distinct().join(medians.withColumnRenamed("_rooms", "_r"), F.col("_rooms").eqNullSafe(F.col("_r")), "left").drop("_r")
 
 
 def with_segments(pool: DataFrame) -> DataFrame:
     """Usable pool rows with _segment, by the quartiles of all of them."""
     edges = F.broadcast(quartiles(pool).select(F.col("n").alias("_n"), F.col("q").alias("_q")))
-    return pool.join(edges).withColumn("_segment", segment(F.col("_price_m2"), F.col("_n"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1)))).drop("_n", "_q")
+    return pool.join(edges, how="left").withColumn("_segment", segment(F.col("_price_m2"), F.col("_n"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1)))).drop("_n", "_q")
 
 
 def statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,19 +103,9 @@ def left_out(v: Column, n: Column, stats: Column, i: int) -> Column:
 
 def order_statistics(pool: DataFrame, *keys: str) -> DataFrame:
     """n, and for each quartile the three values around the place it has when one row is left out."""
-    if not keys:
-        pool = pool.withColumn("_all", F.lit(1))
-    by = list(keys) or ["_all"]
-    counts = pool.where("_price_m2 is not null").groupBy(*by, "_price_m2").agg(F.count("*").alias("c"))
-    lists = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("_price_m2").alias("v"), "c"))).alias("vs"))
-
-    def at(rank: Column) -> Column:
-        state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-        step = lambda s, x: F.struct((s["seen"] + x["c"]).alias("seen"), F.when((s["seen"] <= rank) & (s["seen"] + x["c"] > rank), x["v"]).otherwise(s["v"]).alias("v"))
-        return F.aggregate("vs", state, step, lambda s: s["v"])
-
-    places = [F.floor(F.lit(p) * (F.col("n") - 2)) + k for p in (0.25, 0.75) for k in range(3)]
-    return lists.select(*by, "n", F.array(*(at(F.least(x, F.col("n") - 1)) for x in places)).alias("os"))
+    places = lambda n: {f"_{i}{k}": F.least(F.floor(F.lit(p) * (n - 2)) + k, n - 1) for i, p in enumerate((0.25, 0.75)) for k in range(3)}
+    found = ranked(pool, list(keys), "_price_m2", places)
+    return found.select(*(keys or [F.lit(1).alias("_all")]), "n", F.array(*(f"_{i}{k}" for i in range(2) for k in range(3))).alias("os"))
 
 
 def target_segments(targets: DataFrame, pool: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exclusive_quartiles, number
 from ..functions.vocabulary import AREA_BOUNDS, LEAST_OUTLIER_GROUP, OUTLIER_FACTOR, PRICE_M2_BOUNDS
+from .ranks import ranked
 
 
 def _drop(df: DataFrame, reason: Column, stage: str) -> DataFrame:
@@ -29,24 +30,16 @@ def hard_bounds(df: DataFrame, value: Column, low: float, high: float, label: st
 
 
 def fences(df: DataFrame, value: Column, group: Column, factor: float = OUTLIER_FACTOR, least: int = LEAST_OUTLIER_GROUP) -> DataFrame:
-    """(grp, n, q1, q3, low, high) of groups with at least ``least`` values, quartiles by the exclusive method.
-
-    Values are counted first, so what a group gathers is its distinct values, not its rows."""
-    counts = df.select(group.alias("grp"), value.alias("v")).where("v is not null").groupBy("grp", "v").agg(F.count("*").alias("c"))
-    lists = counts.groupBy("grp").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("v", "c"))).alias("vs"))
-
-    def at(rank: Column) -> Column:
-        """The value at a rank from 1, by adding up counts."""
-        state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-        step = lambda s, x: F.struct((s["seen"] + x["c"]).alias("seen"), F.when((s["seen"] < rank) & (s["seen"] + x["c"] >= rank), x["v"]).otherwise(s["v"]).alias("v"))
-        return F.aggregate("vs", state, step, lambda s: s["v"])
+    """(grp, n, q1, q3, low, high) of groups with at least ``least`` values, quartiles by the exclusive method."""
+    below = lambda i, n: F.greatest(F.lit(1), F.least(n - 1, F.floor(F.lit(i) * (n + 1) / 4)))  # noqa: E731  a rank from 1
+    rows = df.select(group.alias("grp"), value.cast("double").alias("v"))
+    found = ranked(rows, ["grp"], "v", lambda n: {f"_{i}{k}": F.least(below(i, n) + k, n) - 1 for i in (1, 3) for k in range(2)})
 
     def quartile(i: int) -> Column:
-        j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.lit(i) * (F.col("n") + 1) / 4)))
-        delta = F.lit(i) * (F.col("n") + 1) - j * 4
-        return (at(j) * (4 - delta) + at(j + 1) * delta) / 4
+        delta = F.lit(i) * (F.col("n") + 1) - below(i, F.col("n")) * 4
+        return (F.col(f"_{i}0") * (4 - delta) + F.col(f"_{i}1") * delta) / 4
 
-    out = lists.where(F.col("n") >= least).select("grp", "n", quartile(1).alias("q1"), quartile(3).alias("q3"))
+    out = found.where(F.col("n") >= least).select("grp", "n", quartile(1).alias("q1"), quartile(3).alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * factor
     return out.withColumn("low", F.col("q1") - spread).withColumn("high", F.col("q3") + spread)
 

@@ -10,24 +10,18 @@ from ..functions.runtime import cut
 from ..functions.vocabulary import BUSINESS, COMFORT, ECONOMY, FAR_BAND, FAR_KM, LEAST_COHORT, NEAR_KM
 from .cohort import STATS, _key_level, _pair_stats, city_medians, statistics, within
 from .features import enrich
+from .ranks import ranked
 
 DISCOUNT, FULL = 0.05, 6
 
 
 def with_segments(pool: DataFrame) -> DataFrame:
     """pool with _segment by the values at a quarter and three quarters of the sorted list; under four values all are comfort."""
-    counts = pool.where("_price_m2 is not null").groupBy("_price_m2").agg(F.count("*").alias("c"))
-    one = counts.groupBy().agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("_price_m2").alias("v"), "c"))).alias("vs"))
-
-    def at(rank):
-        state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v"))
-        step = lambda s, x: F.struct((s["seen"] + x["c"]).alias("seen"), F.when((s["seen"] <= rank) & (s["seen"] + x["c"] > rank), x["v"]).otherwise(s["v"]).alias("v"))
-        return F.aggregate("vs", state, step, lambda s: s["v"])
-
-    edges = F.broadcast(one.select(F.col("n").alias("_n"), at(F.expr("n div 4")).alias("_q25"), at(F.expr("n * 3 div 4")).alias("_q75")))
+    one = ranked(pool, [], "_price_m2", lambda n: {"_q25": F.floor(n / 4), "_q75": F.floor(n * 3 / 4)})
+    edges = F.broadcast(one.withColumnRenamed("n", "_n"))
     v = F.col("_price_m2")
-    found = F.when((F.col("_n") < 4) | v.isNull(), COMFORT).when(v <= F.col("_q25"), ECONOMY).when(v >= F.col("_q75"), BUSINESS).otherwise(COMFORT)
-    return pool.join(edges).withColumn("_segment", found).drop("_n", "_q25", "_q75")
+    found = F.when((F.coalesce("_n", F.lit(0)) < 4) | v.isNull(), COMFORT).when(v <= F.col("_q25"), ECONOMY).when(v >= F.col("_q75"), BUSINESS).otherwise(COMFORT)
+    return pool.join(edges, how="left").withColumn("_segment", found).drop("_n", "_q25", "_q75")
 
 
 def score(targets: DataFrame, pool: DataFrame) -> DataFrame:

@@ -315,3 +315,24 @@ def test_the_outbox_keeps_the_cache(spark, tmp_path):
     assert n > 0
     run(batch, 7)
     assert calls.read_text().count("x") == n
+
+
+def test_values_at_ranks(spark):
+    """Quantiles by cells against sorting, with ties, negative values, zeros, a null key, one value and none."""
+    import random
+
+    from tessera.operators import ranks
+
+    r = random.Random(7)
+    table = [(k, r.choice([0.0, -0.5, 1e9, -3.25, 7.0]) if r.random() < 0.2 else round(r.uniform(-50, 1e6), r.randint(0, 6))) for k in ("a", "b", None) for _ in range(r.randint(300, 900))]
+    table += [("one", 5.0), ("none", None), ("two", 1.0), ("two", -1.0), ("same", 3.0)] + [("same", 3.0)] * 9
+    df = spark.createDataFrame(table, "k string, v double").repartition(7)
+    got = {x.k: x for x in ranks.quantiles(df, ["k"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()}
+    want = {x.k: x for x in df.where("v is not null").groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()}
+    assert set(got) == set(want) == {"a", "b", None, "one", "two", "same"}
+    for k, x in got.items():
+        assert (x.n, [x.q1, x.q2, x.q3]) == (want[k].n, want[k].q)
+    whole = ranks.ranked(df, [], "v", lambda n: {"low": F.lit(0), "high": n - 1}).first()
+    values = [v for _, v in table if v is not None]
+    assert tuple(whole) == (len(values), min(values), max(values))
+    assert ranks.ranked(df.limit(0), ["k"], "v", lambda n: {"x": F.lit(0)}).count() == 0
