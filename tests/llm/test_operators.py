@@ -488,6 +488,54 @@ def test_licences(spark, docs, none):
     assert licences.scan(docs).count() == 0 and licences.scan(none).count() == 0
 
 
+def test_licences_wherever_they_stand(spark, tmp_path):
+    """Whole licence texts, notices inside a line or wrapped, with words changed, cut off at the end or side by side, against every window by brute force and against the SQL."""
+    import duckdb
+
+    r = random.Random(31)
+    filler = lambda n: " ".join(r.choice(["the", "software", "and", "of", "licensed", "under", "alpha", "copy", "License"]) for _ in range(n))
+    texts = ["This file is released under the MIT license, see below.", "Licensed under the\n  Apache\nLicense, Version\n2.0", "x " * 30 + licences.TEMPLATES["MIT-text"].replace("\n", " ").upper()]
+    for _ in range(60):
+        body = re.findall(r"\S+", licences.TEMPLATES[r.choice(sorted(licences.TEMPLATES))])
+        for _ in range(r.randint(0, len(body) // 8)):
+            body[r.randrange(len(body))] = r.choice(["odd", "the"])
+        body = body[: r.choice([len(body), len(body), max(2, len(body) * 3 // 4)])]
+        texts.append(filler(r.randint(0, 20)) + r.choice([" ", "\n"]) + r.choice([" ", "\n", "\n\n"]).join(body) + (" " + filler(r.randint(1, 9)) if r.random() < 0.6 else ""))
+    texts += [licences.TEMPLATES["MIT"] + "\n" + licences.TEMPLATES["GPL-2.0"], None, "", "one", "ünder thé MIT lícense"]
+
+    def brute(text):
+        w, line = [], []
+        for k, body in enumerate((text or "").split("\n"), 1):
+            new = re.findall("[a-z0-9]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in body))
+            w, line = w + new, line + [k] * len(new)
+        rows = []
+        for name, body in licences.TEMPLATES.items():
+            known = re.findall("[a-z0-9]+", body.lower())
+            own = set(zip(known, known[1:], strict=False))
+            for s in range(len(w) - 1):
+                part = w[s : s + len(known)]
+                g = set(zip(part, part[1:], strict=False))
+                if (w[s], w[s + 1]) in own and (dice := 2 * len(g & own) / (len(g) + len(own))) >= 0.8:
+                    rows.append((s, s + len(part), -dice, -len(known), name))
+        out, group, upto = [], [], -1
+        for row in sorted(rows) + [(10**9, 0, 0, 0, "")]:
+            if row[0] >= upto and group:
+                x = min(group, key=lambda y: (y[2], y[3], y[4], y[0]))
+                out.append((line[x[0]], x[4], round(-x[2], 6)))
+                group, upto = [], -1
+            group.append(row)
+            upto = max(upto, row[1])
+        return out
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents"))
+    got = sorted((x.doc_id, x.line, x.template, round(x.dice, 6)) for x in licences.scan(spark.read.parquet(str(tmp_path / "documents"))).collect())
+    assert got == sorted((i, *x) for i, t in enumerate(texts) for x in brute(t))
+    assert {x[2] for x in got} > {"MIT", "Apache-2.0", "MIT-text", "BSD-3-Clause-text"} and {0, 1, 2} <= {x[0] for x in got}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    assert sorted(con.sql(licences.sql()).fetchall()) == got
+
+
 def test_warc(spark):
     schema = "page_id long, url string, html string, digest string, head int"
     rows = [(1, "http://a/ b", "<p>é\r\n\r\nWARC/1.1\r\n</p>", "x", 1), (2, None, None, "x", 1), (3, "u", "", "x", 1), (7, "u", "same", "x", 1), (9, "v", "same", "x", 1), (8, "v", "same", "x", 1), (None, "n", "n", "x", 1), (12, "l", "y" * 300_000, "x", 1), (-4, "m", "m\x00", "x", 1)]
