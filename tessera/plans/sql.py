@@ -104,6 +104,20 @@ _FENCE = """v AS (SELECT rooms, price AS x FROM l WHERE price IS NOT NULL), li A
 q AS (SELECT *, greatest(1, least(n - 1, (n + 1) // 4)) AS j1, greatest(1, least(n - 1, 3 * (n + 1) // 4)) AS j3 FROM li),
 z AS (SELECT rooms, n, (s[j1] * (4 - ((n + 1) - 4 * j1)) + s[j1 + 1] * ((n + 1) - 4 * j1)) / 4 AS q1, (s[j3] * (4 - (3 * (n + 1) - 4 * j3)) + s[j3 + 1] * (3 * (n + 1) - 4 * j3)) / 4 AS q3 FROM q)"""
 
+_OLD = f"""{_ENRICH},
+o AS (SELECT *, CASE WHEN fin = 'черновая' THEN 'rough' ELSE 'finished' END AS f2, requires_manual_review = 'True' AS review, coalesce(floor = 1 OR floor = floor_total, false) AND floor_total IS NOT NULL AS ends FROM w),
+po AS (SELECT * FROM o WHERE l_orderkey % 100 <> 0 AND NOT review),
+tt AS (SELECT *, row_number() OVER () AS tid FROM o WHERE l_orderkey % 100 = 0),
+t AS (SELECT * FROM tt WHERE pm2 IS NOT NULL AND NOT review),
+city AS (SELECT rooms, median(pm2) AS med FROM po GROUP BY rooms),
+pairs AS (SELECT t.tid, p.pm2, t.complex_id = p.complex_id AS l1,
+  2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(p.latitude) - radians(t.latitude)) / 2), 2) + cos(radians(t.latitude)) * cos(radians(p.latitude)) * pow(sin((radians(p.longitude) - radians(t.longitude)) / 2), 2)))) AS km,
+  p.pm2 BETWEEN c.med * (1 - 0.3::DOUBLE) AND c.med * (1 + 0.3::DOUBLE) AS band FROM t JOIN po p ON t.f2 = p.f2 AND t.rooms = p.rooms LEFT JOIN city c ON c.rooms = t.rooms),
+lev AS (SELECT tid, CASE WHEN count(*) FILTER (WHERE l1) >= 3 THEN '1-2' WHEN count(*) FILTER (WHERE km <= 1) >= 3 THEN '4' WHEN count(*) FILTER (WHERE km <= 3 AND band) >= 3 THEN '5' ELSE '6' END AS level FROM pairs GROUP BY tid),
+rows AS (SELECT p.*, level FROM pairs p JOIN lev USING (tid) WHERE CASE level WHEN '1-2' THEN l1 WHEN '4' THEN km <= 1 WHEN '5' THEN km <= 3 AND band ELSE true END),
+found AS (SELECT tid, any_value(level) AS level, count(*) AS size, median(pm2) AS med FROM rows GROUP BY tid),
+scored AS (SELECT tt.*, found.level, found.size, found.med, found.med * CASE WHEN ends THEN 0.95::DOUBLE ELSE 1.0 END AS base FROM tt LEFT JOIN found USING (tid))"""
+
 SQL = {
     "q_hard_clean": f"WITH {_CLEAN} SELECT {ROW}, CASE WHEN drop_reason IS NOT NULL THEN 'stage1' END AS drop_stage, drop_reason FROM c",
     "q_drop_reasons": f"WITH {_CLEAN} SELECT coalesce(regexp_extract(drop_reason, '^\\w+'), 'kept') AS reason, count(*) AS n FROM c GROUP BY 1",
@@ -166,6 +180,8 @@ SELECT doc_id, hash, CASE WHEN doc_id % 2 = 0 THEN quality END::BIGINT AS result
     "q_red_flags": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'чистовая' END AS finish_type, CASE doc_id % 3 WHEN 0 THEN '["залив"]' WHEN 1 THEN '["требует_капремонта"]' ELSE '[]' END AS red_flags, doc_id % 3 = 0 AS excluded FROM documents""",
     "q_notification_rows": f"""WITH {_SCORE}, v AS (SELECT *, {_VERDICT}, {_LEVEL} FROM s) SELECT id, 'new' AS reason, 'fast_track' AS source, '2026-01-01T00:00:00+00:00' AS sent_at, verdict, cohort_level, cohort_size::VARCHAR AS cohort_size, seller_class, array_to_string(warn, ';') AS data_warnings, '' AS url, title
 FROM v WHERE price > 0 AND (verdict = '{V.FIND}' OR verdict = '{V.BY_HAND}' AND diff >= 0.1)""",
+    "q_old_score": f"""WITH {_OLD} SELECT {ROW}, CASE WHEN review THEN 'excluded_manual_review' WHEN pm2 IS NULL THEN 'no_price_m2' WHEN med IS NULL THEN 'no_comparables' ELSE 'scored' END AS status,
+  level AS cohort_level, size::BIGINT AS cohort_size, round((base - pm2) / base, 6) AS diff_pct FROM scored""",
     "q_stream_registry": _REGISTRY,
     "q_stream_diff": _CHANGES,
 }
