@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, exact dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last adds the topic,
-the tokens, the sampling probability and the weight. Rows with one doc_id, null among them, share its fate in the two dedup stages
-and are judged apart by the others.
+the tokens, the sampling probability and the weight. Rows with one doc_id, null among them, share its fate in the two dedup stages;
+quality and decontamination judge each by its text; mixing draws by doc_id, or by the text where there is none.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontaminate", clean_stage), ("mix", mix_stage)]
 
-#: The quality model and the tiling cannot be put in SQL; tests hold the stages against brute force.
+#: The quality model and the tiling cannot be put in SQL; tests/llm/test_pipeline.py holds each stage against brute force on all that the one before kept.
 ORACLE_SQL = None
 
 

@@ -117,7 +117,7 @@ def analyse(rows: DataFrame, cache: DataFrame, extractor: Callable[[str], str],
 
 def exclude_flagged(df: DataFrame) -> DataFrame:
     """Adds drop_stage and drop_reason for rows that need a review by hand or are sold by instalments."""
-    review = F.when(truth(F.col("requires_manual_review")), F.concat(F.lit("requires_manual_review ("), F.col("red_flags").cast("string"), F.lit(")")))
+    review = F.when(truth(F.col("requires_manual_review")), F.concat(F.lit("requires_manual_review (red_flags="), F.replace(F.coalesce(F.col("red_flags").cast("string"), F.lit("[]")), F.lit('"'), F.lit("'")), F.lit(")")))
     paid = F.when(truth(F.col("is_installment_segment")), "is_installment_segment")
     reason = F.concat_ws("; ", review, paid)
     return df.withColumn("drop_reason", F.when(reason != "", reason)).withColumn("drop_stage", F.when(reason != "", "stage2_exclusion"))

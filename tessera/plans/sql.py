@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import vocabulary as V
-from .listings import LISTINGS, ORDER
+from .listings import COLUMNS, LISTINGS, ORDER
 
 ROW = "l_orderkey, " + ", ".join(ORDER)
 TIE = ", ".join(ORDER)
@@ -118,6 +118,36 @@ rows AS (SELECT p.*, level FROM pairs p JOIN lev USING (tid) WHERE CASE level WH
 found AS (SELECT tid, any_value(level) AS level, count(*) AS size, median(pm2) AS med FROM rows GROUP BY tid),
 scored AS (SELECT tt.*, found.level, found.size, found.med, found.med * CASE WHEN ends THEN 0.95::DOUBLE ELSE 1.0 END AS base FROM tt LEFT JOIN found USING (tid))"""
 
+def _baseline() -> str:
+    """The stages of the pool builder one after the other: counts by stage and reason of what each drops, and of what is kept."""
+    cluster = _CLUSTER.removeprefix(f"{L}, ").replace("FROM l)", "FROM k1)")
+    photo = _fold("h", "photo_set_hash", TIE).replace("o AS (", "o1 AS (", 1).replace("f AS (", "f1 AS (", 1).replace("FROM o WHERE", "FROM o1 o WHERE").replace("FROM f JOIN o ON", "FROM f1 f JOIN o1 o ON")
+    address = _fold("cl", "ks, kh, kf, kr, cluster", f"square_m2, {TIE}").replace("o AS (", "o2 AS (", 1).replace("f AS (", "f2 AS (", 1).replace("FROM o WHERE", "FROM o2 o WHERE").replace("FROM f JOIN o ON", "FROM f2 f JOIN o2 o ON")
+    own = "id, " + ", ".join(c.rsplit(" AS ", 1)[-1] for c in COLUMNS[1:])
+
+    def sane(n: int, value: str, low: float, high: float, label: str, stage: str) -> str:
+        fence = _FENCE.replace("v AS", f"v{n} AS").replace("li AS", f"li{n} AS").replace("q AS", f"q{n} AS").replace("z AS", f"z{n} AS").replace("FROM l ", f"FROM b{n} ").replace("FROM v ", f"FROM v{n} ").replace("FROM li)", f"FROM li{n})").replace("FROM q)", f"FROM q{n})").replace("price AS x", "x AS x").replace("price IS", "x IS")
+        return f"""x{n} AS (SELECT *, {value} AS x FROM k{n}), t{n} AS (SELECT *, CASE WHEN x IS NULL THEN 'no_valid_{label}_for_sanity_check' WHEN x < {low} THEN '{label}_too_low_hard' WHEN x > {high} THEN '{label}_too_high_hard' END AS why FROM x{n}),
+b{n} AS (SELECT * FROM t{n} WHERE why IS NULL), {fence},
+g{n} AS (SELECT b.*, coalesce(x < q1 - (q3 - q1) * 3 OR x > q3 + (q3 - q1) * 3, false) AS out FROM b{n} b LEFT JOIN z{n} z USING (rooms)),
+k{n + 1} AS (SELECT {own} FROM g{n} WHERE NOT out),
+d{n} AS (SELECT '{stage}' AS stage, why AS reason FROM t{n} WHERE why IS NOT NULL UNION ALL SELECT '{stage}', '{label}_outlier_iqr' FROM g{n} WHERE out)"""
+
+    return f"""WITH RECURSIVE {_CLEAN}, k0 AS (SELECT {own} FROM c WHERE drop_reason IS NULL),
+h AS (SELECT * FROM k0 WHERE trim(photo_set_hash) <> ''), {photo},
+k1 AS (SELECT {own} FROM k0 WHERE trim(photo_set_hash) = '' UNION ALL SELECT {own} FROM o1 JOIN f1 USING (g, rn) WHERE kept),
+{cluster}, {address},
+k2 AS (SELECT {own} FROM k WHERE NOT has UNION ALL SELECT {own} FROM o2 JOIN f2 USING (g, rn) WHERE kept),
+k3 AS (SELECT * FROM k2 WHERE NOT coalesce(floor > floor_total, false)),
+{sane(3, "coalesce(price_m2::DOUBLE, CASE WHEN price <> 0 AND square_m2 <> 0 THEN price / square_m2 END)", V.PRICE_M2_BOUNDS[0], V.PRICE_M2_BOUNDS[1], "price_m2", "price_sanity")},
+{sane(4, "square_m2::DOUBLE", V.AREA_BOUNDS[0], V.AREA_BOUNDS[1], "square_m2", "square_sanity")},
+every AS (SELECT 'stage1' AS stage, regexp_extract(drop_reason, '^\\w+') AS reason FROM c WHERE drop_reason IS NOT NULL
+UNION ALL SELECT 'photo_dedup', 'duplicate_photo_set_hash' FROM o1 JOIN f1 USING (g, rn) WHERE NOT kept UNION ALL SELECT 'address_layout_dedup', 'duplicate_address_layout' FROM o2 JOIN f2 USING (g, rn) WHERE NOT kept
+UNION ALL SELECT 'floor_integrity', 'floor_gt_floor_total' FROM k2 WHERE floor > floor_total UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4
+UNION ALL SELECT CASE WHEN requires_manual_review = 'True' THEN 'stage2_exclusion' ELSE 'kept' END, CASE WHEN requires_manual_review = 'True' THEN 'requires_manual_review' ELSE 'kept' END FROM k5)
+SELECT stage, reason, count(*) AS n FROM every GROUP BY ALL"""
+
+
 SQL = {
     "q_hard_clean": f"WITH {_CLEAN} SELECT {ROW}, CASE WHEN drop_reason IS NOT NULL THEN 'stage1' END AS drop_stage, drop_reason FROM c",
     "q_drop_reasons": f"WITH {_CLEAN} SELECT coalesce(regexp_extract(drop_reason, '^\\w+'), 'kept') AS reason, count(*) AS n FROM c GROUP BY 1",
@@ -180,6 +210,7 @@ SELECT doc_id, hash, CASE WHEN doc_id % 2 = 0 THEN quality END::BIGINT AS result
     "q_red_flags": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'чистовая' END AS finish_type, CASE doc_id % 3 WHEN 0 THEN '["залив"]' WHEN 1 THEN '["требует_капремонта"]' ELSE '[]' END AS red_flags, doc_id % 3 = 0 AS excluded FROM documents""",
     "q_notification_rows": f"""WITH {_SCORE}, v AS (SELECT *, {_VERDICT}, {_LEVEL} FROM s) SELECT id, 'new' AS reason, 'fast_track' AS source, '2026-01-01T00:00:00+00:00' AS sent_at, verdict, cohort_level, cohort_size::VARCHAR AS cohort_size, seller_class, array_to_string(warn, ';') AS data_warnings, '' AS url, title
 FROM v WHERE price > 0 AND (verdict = '{V.FIND}' OR verdict = '{V.BY_HAND}' AND diff >= 0.1)""",
+    "q_baseline": _baseline(),
     "q_old_score": f"""WITH {_OLD} SELECT {ROW}, CASE WHEN review THEN 'excluded_manual_review' WHEN pm2 IS NULL THEN 'no_price_m2' WHEN med IS NULL THEN 'no_comparables' ELSE 'scored' END AS status,
   level AS cohort_level, size::BIGINT AS cohort_size, round((base - pm2) / base, 6) AS diff_pct FROM scored""",
     "q_stream_registry": _REGISTRY,

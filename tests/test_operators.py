@@ -336,3 +336,10 @@ def test_values_at_ranks(spark):
     values = [v for _, v in table if v is not None]
     assert tuple(whole) == (len(values), min(values), max(values))
     assert ranks.ranked(df.limit(0), ["k"], "v", lambda n: {"x": F.lit(0)}).count() == 0
+
+
+def test_review_needs_no_flags(spark):
+    """A row to be reviewed goes, also where its flags are missing."""
+    table = spark.createDataFrame([("1", "True", None, "False"), ("2", "True", '["x"]', "False"), ("3", "False", None, "False"), ("4", None, None, "True")], "id string, requires_manual_review string, red_flags string, is_installment_segment string")
+    got = {r.id: r.drop_reason for r in extraction.exclude_flagged(table).collect()}
+    assert got == {"1": "requires_manual_review (red_flags=[])", "2": "requires_manual_review (red_flags=['x'])", "3": None, "4": "is_installment_segment"}
