@@ -84,10 +84,17 @@ def _pair_stats(pairs: DataFrame) -> DataFrame:
     return statistics(pairs.select("_tid", F.col("p_price").alias("_price_m2"), F.col("p_extreme").alias("_extreme")), ["_tid"])
 
 
-def _key_level(targets: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
-    """(_tid, STATS) of the pool rows with a target's keys."""
+def in_pool(targets: DataFrame) -> bool:
+    """Whether any target is in the pool itself; if none is, what would leave its own rows out need not be planned."""
+    return bool(targets.where("_self").take(1))
+
+
+def _key_level(targets: DataFrame, pool: DataFrame, keys: list[str], some: bool = True) -> DataFrame:
+    """(_tid, STATS) of the pool rows with a target's keys. some: targets may be in the pool."""
     p = pool.where(" and ".join(f"{k} is not null" for k in keys))
     alone = targets.where("not _self").select("_tid", *keys).join(statistics(p, keys), keys).select("_tid", *STATS)
+    if not some:
+        return alone
     own = targets.where("_self").select("_tid", "_id", *keys).join(p.select(*keys, F.col("_id").alias("p_id"), F.col("_price_m2").alias("p_price"), F.col("_extreme").alias("p_extreme")), keys).where("p_id <> _id")
     return alone.unionByName(_pair_stats(own).select("_tid", *STATS))
 
@@ -108,12 +115,14 @@ def order_statistics(pool: DataFrame, *keys: str) -> DataFrame:
     return found.select(*(keys or [F.lit(1).alias("_all")]), "n", F.array(*(f"_{i}{k}" for i in range(2) for k in range(3))).alias("os"))
 
 
-def target_segments(targets: DataFrame, pool: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """targets with their segment by the quartiles of the pool rows with their keys, their own rows left out."""
+def target_segments(targets: DataFrame, pool: DataFrame, keys: list[str], name: str, some: bool = True) -> DataFrame:
+    """targets with their segment by the quartiles of the pool rows with their keys, their own rows left out. some: targets may be in the pool."""
     by = keys or ["_all"]
     t = targets if keys else targets.withColumn("_all", F.lit(1))
     alone = t.where("not _self").join(quartiles(pool, *keys).select(*by, F.col("n").alias("_n"), F.col("q").alias("_q")), by, "left")
     alone = alone.withColumn(name, segment(F.col("_price_m2"), F.col("_n"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1)))).drop("_n", "_q")
+    if not some:
+        return alone.drop("_all")
     mine = pool.select(F.col("_id").alias("_pid"), F.col("_price_m2").alias("_own"), *keys).groupBy("_pid", *keys).agg(F.first("_own").alias("_own"))
     own = t.where("_self").join(order_statistics(pool, *keys).select(*by, F.col("n").alias("_n"), F.col("os").alias("_os")), by, "left")
     own = own.join(mine.withColumnRenamed("_pid", "_id"), ["_id", *keys], "left")
@@ -125,11 +134,12 @@ def target_segments(targets: DataFrame, pool: DataFrame, keys: list[str], name:
 
 def ladder(targets: DataFrame, pool: DataFrame) -> DataFrame:
     """(_tid, level, STATS) for targets; pool: usable rows with _segment. Targets without any comparable are left out."""
-    t = cut(target_segments(targets.select(*TARGET), pool, ["_finish"], "_segment"))
+    some = in_pool(targets)
+    t = cut(target_segments(targets.select(*TARGET), pool, ["_finish"], "_segment", some))
     on_street = pool.where("trim(street) <> ''")
     at = lambda rows, level, least: rows.where(F.col("size") >= least).select("_tid", F.lit(level).alias("level"), *STATS)
-    same = at(_key_level(t, pool, ["_finish", "_rooms", "_complex"]), "1-2", LEAST_COHORT)
-    same = same.unionByName(at(_key_level(t, on_street, ["_finish", "_rooms", "street", "_segment"]), "3", LEAST_COHORT))
+    same = at(_key_level(t, pool, ["_finish", "_rooms", "_complex"], some), "1-2", LEAST_COHORT)
+    same = same.unionByName(at(_key_level(t, on_street, ["_finish", "_rooms", "street", "_segment"], some), "3", LEAST_COHORT))
     # only what these leave is paired by distance, once for both radii
     left = t.join(same.select("_tid"), "_tid", "left_anti")
     pairs = cut(within(left, pool, FAR_KM).select("_tid", "_rooms", "km", "p_price", "p_extreme"))
@@ -139,7 +149,7 @@ def ladder(targets: DataFrame, pool: DataFrame) -> DataFrame:
     far = at(_pair_stats(pairs.join(medians, "_rooms").where(band)), "5", LEAST_COHORT)
     # a target that is in the pool meets all rows of its finish and rooms here, so only those without another level come this far
     earlier = cut(same.unionByName(near).unionByName(far))
-    last = at(_key_level(t.join(earlier.select("_tid"), "_tid", "left_anti"), pool, ["_finish", "_rooms"]), "6", 1)
+    last = at(_key_level(t.join(earlier.select("_tid"), "_tid", "left_anti"), pool, ["_finish", "_rooms"], some), "6", 1)
     every = earlier.unionByName(last)
     # the levels' names sort in the ladder's order
     best = F.min_by(F.struct("level", *STATS), F.col("level")).alias("best")

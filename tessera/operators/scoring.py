@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.columns import clamp, decimal_round, percent, truth
 from ..functions.runtime import cut
-from .cohort import STATS, floor_factor, ladder, statistics, target_segments, with_segments
+from .cohort import STATS, floor_factor, in_pool, ladder, statistics, target_segments, with_segments
 from .features import enrich, quality_score, warnings
 
 
@@ -104,7 +104,7 @@ def score(targets: DataFrame, pool: DataFrame, strict: bool = False, recompute_p
     one = kept.dropDuplicates(["_tid"])
     found = cut(ladder(one, usable))
     wide = statistics(usable, ["_finish", "_rooms"]).select("_finish", "_rooms", *(F.col(c).alias(f"w_{c}") for c in ("n_extreme", "m_extreme", "n_normal", "m_normal")))
-    whole = target_segments(one, usable, [], "price_segment").select("_tid", "price_segment")
+    whole = target_segments(one, usable, [], "price_segment", in_pool(one)).select("_tid", "price_segment")
     rows = t.join(found, "_tid", "left").join(wide, ["_finish", "_rooms"], "left").join(whole, "_tid", "left")
     col = F.col
     factor = F.coalesce(
