@@ -3,7 +3,8 @@
 The ladder goes from the same complex to the whole city; a target takes the first level with enough
 rows. Levels by equal keys (complex, street and segment, rooms) use statistics that are computed once for each
 key, so no pairs are made of a target and a group; only the radius levels pair rows, within
-neighbouring grid cells and only for targets that no earlier level has settled. Targets whose id is
+neighbouring grid cells and only for targets that no earlier level has settled. Where numbers are all
+that is asked, rows of one point are counted before they are paired. Targets whose id is
 itself in the pool must leave their own rows out; those alone are paired at every level."""
 
 from __future__ import annotations
@@ -68,16 +69,49 @@ def _cells(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:
     return F.floor(checked / (km / _KM * 1.001)), F.floor(lon / (km / _KM / math.cos(math.radians(LAT_LIMIT)) * 1.001))
 
 
-def within(targets: DataFrame, pool: DataFrame, km: float) -> DataFrame:
-    """Pairs of a target (its columns _tid, _id, _rooms, _finish, _lat, _lon) and a pool row of its rooms and finish at most km apart, with km."""
-    cy, cx = _cells(F.col("_lat"), F.col("_lon"), km)
+def paired(targets: DataFrame, pool: DataFrame, km: float, *keys: str) -> DataFrame:
+    """Pairs of a row of targets (_rooms, _finish, _lat, _lon) and one of pool (_rooms, _finish, p_lat, p_lon) of equal rooms, finish and keys at most km apart, with km."""
+    cell = lambda lat, lon: _cells(F.col(lat), F.col(lon), km)
+    cy, cx = cell("_lat", "_lon")
     near = F.array(*(F.struct((cy + i).alias("cy"), (cx + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     t = targets.where("_lat is not null and _lon is not null").withColumn("_near", F.explode(near)).selectExpr("*", "_near.cy AS _cy", "_near.cx AS _cx").drop("_near")
-    p = pool.where("_lat is not null and _lon is not null").select(F.col("_id").alias("p_id"), "_rooms", "_finish", F.col("_lat").alias("p_lat"), F.col("_lon").alias("p_lon"), F.col("_price_m2").alias("p_price"), F.col("_extreme").alias("p_extreme"), cy.alias("_cy"), cx.alias("_cx"))
-    pairs = t.join(p, ["_finish", "_rooms", "_cy", "_cx"])
-    other = (F.col("p_id") != F.col("_id")) | (F.col("_id") == "")
-    distance = haversine_km(F.col("_lat"), F.col("_lon"), F.col("p_lat"), F.col("p_lon"))
-    return pairs.where(other).withColumn("km", distance).where(F.col("km") <= km)
+    cy, cx = cell("p_lat", "p_lon")
+    p = pool.where("p_lat is not null and p_lon is not null").select("*", cy.alias("_cy"), cx.alias("_cx"))
+    pairs = t.join(p, ["_finish", "_rooms", "_cy", "_cx", *keys])
+    # what is too far by latitude alone needs no distance
+    pairs = pairs.where(F.abs(F.col("p_lat") - F.col("_lat")) <= km / _KM * 1.001)
+    return pairs.withColumn("km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("km") <= km).drop("_cy", "_cx")
+
+
+def within(targets: DataFrame, pool: DataFrame, km: float) -> DataFrame:
+    """Pairs of a target (its columns _tid, _id, _rooms, _finish, _lat, _lon) and a pool row of its rooms and finish at most km apart, with km."""
+    p = pool.select(F.col("_id").alias("p_id"), "_rooms", "_finish", F.col("_lat").alias("p_lat"), F.col("_lon").alias("p_lon"), F.col("_price_m2").alias("p_price"), F.col("_extreme").alias("p_extreme"))
+    return paired(targets, p, km).where((F.col("p_id") != F.col("_id")) | (F.col("_id") == ""))
+
+
+PLACE = ["_finish", "_rooms", "_lat", "_lon"]
+
+
+def spotted(rows: DataFrame) -> DataFrame:
+    """Pool rows with the names that paired() knows them by."""
+    return rows.withColumnsRenamed({"_lat": "p_lat", "_lon": "p_lon"})
+
+
+def counts_within(targets: DataFrame, pool: DataFrame, radii: dict[str, float], some: bool = True) -> DataFrame:
+    """targets with a pool row of their rooms and finish within the widest radius, with the number of those within each. some: targets may be in the pool, of which rows with their own id do not count.
+
+    Rows of equal finish, rooms and point are counted first, and only what differs in one of these is paired."""
+    t = cut(targets.where(" and ".join(f"{k} is not null" for k in PLACE)))
+    n = lambda weight: [F.sum(F.when(F.col("km") <= r, weight).otherwise(0)).alias(k) for k, r in radii.items()]
+    widest = max(radii.values())
+    spots = pool.groupBy(*PLACE).agg(F.count("*").alias("_n"))
+    found = t.join(paired(t.select(*PLACE).distinct(), spotted(spots), widest).groupBy(*PLACE).agg(*n(F.col("_n"))), PLACE)
+    if some:
+        places = t.where("_id <> ''").select("_id", *PLACE).distinct()
+        own = paired(places, spotted(pool.select("_id", *PLACE)), widest, "_id").groupBy("_id", *PLACE).agg(*n(F.lit(1)))
+        found = found.join(own.withColumnsRenamed({k: f"_own_{k}" for k in radii}), ["_id", *PLACE], "left")
+        found = found.withColumns({k: F.col(k) - F.coalesce(F.col(f"_own_{k}"), F.lit(0)) for k in radii}).drop(*(f"_own_{k}" for k in radii))
+    return found.where(F.greatest(F.lit(0), *radii) > 0)
 
 
 def _pair_stats(pairs: DataFrame) -> DataFrame:

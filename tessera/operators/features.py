@@ -25,7 +25,9 @@ def rooms_key() -> Column:
     """"studio", a whole number, other text in lower case, or null."""
     text = F.lower(F.trim(F.col("rooms").cast("string")))
     whole = number(text)
-    return F.when(text.isin("studio", "студия"), "studio").when(whole.isNotNull() & ~F.isnan(whole), whole.cast("long").cast("string")).when(text != "", text)
+    # most are written as the key is, and need no pattern; beyond 15 digits a double may not hold them
+    plain = (F.length(text) <= 15) & (text.try_cast("long").cast("string") == text)
+    return F.when(plain, text).when(text.isin("studio", "студия"), "studio").when(whole.isNotNull() & ~F.isnan(whole), whole.cast("long").cast("string")).when(text != "", text)
 
 
 def seller() -> Column:

@@ -144,9 +144,10 @@ def q_haversine_pairs(spark, folder):
 def q_radius_join(spark, folder):
     """Pool rows of a target's rooms and finish within the two radii."""
     rows = listings(spark, folder)
-    t, usable = scoring.prepared(targets(rows), pool(rows))
-    pairs = cohort.within(t.where("_price_m2 is not null"), usable, V.FAR_KM)
-    return pairs.groupBy(*_ROW).agg(F.count_if(F.col("km") <= V.NEAR_KM).alias("near"), F.count("*").alias("far"))
+    t = features.enrich(targets(rows)).where("_price_m2 is not null").select(*_ROW, *cohort.PLACE)
+    usable = features.enrich(pool(rows)).where("not _excluded").select(*cohort.PLACE)
+    found = cohort.counts_within(t, usable, {"near": V.NEAR_KM, "far": V.FAR_KM}, some=False)
+    return found.groupBy(*_ROW).agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
 
 
 def _scored(spark, folder):

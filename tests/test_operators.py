@@ -343,3 +343,55 @@ def test_review_needs_no_flags(spark):
     table = spark.createDataFrame([("1", "True", None, "False"), ("2", "True", '["x"]', "False"), ("3", "False", None, "False"), ("4", None, None, "True")], "id string, requires_manual_review string, red_flags string, is_installment_segment string")
     got = {r.id: r.drop_reason for r in extraction.exclude_flagged(table).collect()}
     assert got == {"1": "requires_manual_review (red_flags=[])", "2": "requires_manual_review (red_flags=['x'])", "3": None, "4": "is_installment_segment"}
+
+
+def _km(a, b):
+    from math import asin, cos, radians, sin, sqrt
+
+    (y, x), (v, u) = a, b
+    h = sin((radians(v) - radians(y)) / 2) ** 2 + cos(radians(y)) * cos(radians(v)) * sin((radians(u) - radians(x)) / 2) ** 2
+    return 2 * 6371.0 * asin(sqrt(min(1.0, h)))
+
+
+def _around(r, n, ids, at=51.0):
+    """n random rows (_id, _finish, _rooms, _lat, _lon, _price_m2, _extreme): few points, some without coordinates, rooms or price, ids from ids."""
+    point = lambda: (round(at + r.randint(0, 12) * 0.004, 6), round(71.0 + r.randint(0, 12) * 0.007, 6)) if r.random() < 0.9 else (None, 71.0)
+    made = [(str(r.choice(ids)), r.choice(["rough", "finished"]), r.choice(["1", "2", "2", None]), *point(), r.choice([None, 5.0, 7.0, float("nan"), float("inf"), *[round(r.uniform(1, 900), 1) for _ in range(9)]]), r.random() < 0.2) for _ in range(n)]
+    return made + [("", "rough", "2", at, 71.0, 3.0, False)]
+
+
+_AROUND = "_id string, _finish string, _rooms string, _lat double, _lon double, _price_m2 double, _extreme boolean"
+
+
+@pytest.mark.parametrize("at", [51.0, -0.02, -69.0])
+def test_counts_within_radii(spark, at):
+    """Numbers of rows around against all pairs, also of targets that are in the pool, whose own rows do not count but where the id is blank."""
+    import random
+
+    r = random.Random(5)
+    pool_, some = _around(r, 400, range(60), at), _around(r, 60, range(50, 70), at)
+    got = {}
+    for own in (True, False):
+        found = cohort.counts_within(spark.createDataFrame(some, _AROUND).withColumn("n", F.monotonically_increasing_id()), spark.createDataFrame(pool_, _AROUND), {"near": 1.0, "far": 3.0}, some=own)
+        got[own] = sorted((x._id, x._finish, x._rooms, x._lat, x._lon, x.near, x.far) for x in found.collect())
+        want = []
+        for t in some:
+            d = [_km(t[3:5], p[3:5]) for p in pool_ if None not in (t[2], t[3], p[3]) and p[1:3] == t[1:3] and (not own or p[0] != t[0] or t[0] == "")]
+            near, far = sum(x <= 1 for x in d), sum(x <= 3 for x in d)
+            want += [(*t[:5], near, far)] if far else []
+        assert got[own] == sorted(want) and want
+    assert got[True] != got[False]
+
+
+def test_copies_make_no_pairs_in_a_radius(spark):
+    """3 billion pairs, if targets and rows of one point were paired one by one."""
+    row = lambda n: spark.range(n).selectExpr("cast(id as string) AS _id", "'rough' AS _finish", "'2' AS _rooms", "51d AS _lat", "71d AS _lon")
+    found = cohort.counts_within(row(30_000), row(100_000), {"near": 1.0, "far": 3.0}, some=False)
+    assert [tuple(x) for x in found.groupBy("near", "far").count().collect()] == [(100_000, 100_000, 30_000)]
+
+
+def test_rooms_written_as_their_key(spark):
+    """Rooms that are spared the patterns have the key that these give."""
+    texts = ["2", " 2 ", "02", "+2", "-2", "-0", "2.0", "2e0", "2_0", "999999999999999", "9007199254740993", "", " ", None, "Studio", "студия", "nan", "5 и более", "1d"]
+    df = spark.createDataFrame([(x,) for x in texts], "rooms string").select("rooms", features.rooms_key().alias("k"))
+    assert {x.rooms: x.k for x in df.collect()} == dict(zip(texts, ["2", "2", "2", "2", "-2", "0", "2", "2", "20", "999999999999999", "9007199254740992", None, None, None, "studio", "studio", "nan", "5 и более", "1d"]))
