@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
 from ..functions.runtime import cut
-from .ranks import quantiles, ranked
+from .ranks import between, cell, quantiles, ranked
 from ..functions.vocabulary import (
     BUSINESS, COMFORT, EARTH_KM, ECONOMY, FAR_BAND, FAR_KM, FLOOR_DEFAULT, FLOOR_HIGH, FLOOR_LOW, LEAST_COHORT, LEAST_FLOOR, LEAST_SEGMENT_POOL, NEAR_KM,
 )
@@ -71,11 +71,10 @@ def _cells(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:
 
 def paired(targets: DataFrame, pool: DataFrame, km: float, *keys: str) -> DataFrame:
     """Pairs of a row of targets (_rooms, _finish, _lat, _lon) and one of pool (_rooms, _finish, p_lat, p_lon) of equal rooms, finish and keys at most km apart, with km."""
-    cell = lambda lat, lon: _cells(F.col(lat), F.col(lon), km)
-    cy, cx = cell("_lat", "_lon")
+    cy, cx = _cells(F.col("_lat"), F.col("_lon"), km)
     near = F.array(*(F.struct((cy + i).alias("cy"), (cx + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     t = targets.where("_lat is not null and _lon is not null").withColumn("_near", F.explode(near)).selectExpr("*", "_near.cy AS _cy", "_near.cx AS _cx").drop("_near")
-    cy, cx = cell("p_lat", "p_lon")
+    cy, cx = _cells(F.col("p_lat"), F.col("p_lon"), km)
     p = pool.where("p_lat is not null and p_lon is not null").select("*", cy.alias("_cy"), cx.alias("_cx"))
     pairs = t.join(p, ["_finish", "_rooms", "_cy", "_cx", *keys])
     # what is too far by latitude alone needs no distance
@@ -114,6 +113,52 @@ def counts_within(targets: DataFrame, pool: DataFrame, radii: dict[str, float],
     return found.where(F.greatest(F.lit(0), *radii) > 0)
 
 
+#: Cells of the unit price that medians_within counts a point's rows by. All but the first and last lie between the quartiles of all rows, where most medians are.
+PRICE_CELLS = 32
+
+
+def medians_within(places: DataFrame, pool: DataFrame, km: float, least: int, some: bool = True) -> DataFrame:
+    """(_gid, size, median) of the pool rows of a place's finish and rooms at most km away, for places with at least so many. Rows without a price count, but have no part in the median.
+
+    places: _gid, PLACE, and _own: the id whose rows do not count, or null. some: there are such ids. The rows of a point are counted by cell of the
+    price; of the rows around a place only those in the one or two cells that hold the middle are met one by one, those of one point and price together."""
+    v, last = F.col("_price_m2"), PRICE_CELLS - 1
+    low, high = pool.where(v.isNotNull()).select(F.percentile_approx(cell(v), F.array(F.lit(0.25), F.lit(0.75)), 1000).alias("x")).first().x or (0, 1)
+    inner = F.least(F.lit(last - 1), F.floor((cell(v) - low).cast("double") / max(1, high - low) * (last - 1)) + 1)
+    rows = pool.withColumn("_b", F.when(cell(v) < low, 0).when(cell(v) >= high, last).otherwise(inner).cast("long")).withColumn("_b", F.when(v.isNotNull(), F.col("_b")))
+    counted = [f"_c{i}" for i in range(PRICE_CELLS)]
+    spots = rows.groupBy(*PLACE).agg(F.count("*").alias("size"), *(F.count_if(F.col("_b") == i).alias(c) for i, c in enumerate(counted)))
+    sums = [F.sum(c).alias(c) for c in ("size", *counted)]
+    near = paired(places, spotted(spots), km).groupBy("_gid").agg(*sums)
+    if some:
+        mine = places.where("_own is not null").withColumn("_id", F.col("_own"))
+        own = cut(paired(mine, spotted(rows.select("_id", *PLACE, "_price_m2", "_b")), km, "_id").select("_gid", "_price_m2", "_b"))
+        less = own.groupBy("_gid").agg((-F.count("*")).alias("size"), *((-F.count_if(F.col("_b") == i)).alias(c) for i, c in enumerate(counted)))
+        near = near.unionByName(less).groupBy("_gid").agg(*sums)
+    zero = F.lit(0).cast("long")
+    # the cell that holds a rank, and the number of values in the cells below it
+    state = F.struct(zero.alias("upto"), zero.alias("below"), F.lit(-1).cast("long").alias("at"))
+    step = lambda rank: lambda s, x: F.when(s.upto > rank, s).otherwise(F.struct((s.upto + x).alias("upto"), s.upto.alias("below"), (s.at + 1).alias("at")))
+    n = F.aggregate("_cs", zero, lambda s, x: s + x)
+    near = near.where(F.col("size") >= least).select("_gid", "size", F.array(*counted).alias("_cs")).withColumn("_n", n)
+    near = near.withColumns({"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.floor(F.col("_n") / 2)})
+    near = cut(near.select("_gid", "size", "_n", *(F.when(F.col("_n") > 0, F.aggregate("_cs", state, step(F.col(r)))).alias(f"{r}c") for r in ("_lo", "_hi")), "_lo", "_hi"))
+    asked = near.where("_n > 0").select("_gid", "_lo", "_hi", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{r}c.at").alias("_b"), F.col(f"{r}c.below").alias("_below")) for r in ("_lo", "_hi"))))).alias("x"))
+    # ranks within the cell; those of another cell are below 0, or beyond its last value
+    asked = asked.select("_gid", "x._b", (F.col("_lo") - F.col("x._below")).alias("_lo"), (F.col("_hi") - F.col("x._below")).alias("_hi"))
+    cells = [x._b for x in asked.select("_b").distinct().collect()]
+    values = rows.where(F.col("_b").isin(cells)).groupBy(*PLACE, "_b", "_price_m2").agg(F.count("*").alias("_w"))
+    met = ["_gid", "_b", "_lo", "_hi", "_price_m2", "_w"]
+    found = paired(places.select("_gid", *PLACE).join(asked, "_gid"), spotted(values), km, "_b").select(*met)
+    if some:
+        found = found.unionByName(own.join(asked, ["_gid", "_b"]).withColumn("_w", F.lit(-1).cast("long")).select(*met))
+    # equal prices are added up together, so what is taken away goes with what it is taken from
+    found = found.withColumn("_upto", F.sum("_w").over(Window.partitionBy("_gid", "_b").orderBy("_price_m2")))
+    first = lambda rank: F.min(F.when((F.col(rank) >= 0) & (F.col("_upto") > F.col(rank)), v)).alias(rank)
+    middle = found.groupBy("_gid").agg(first("_lo"), first("_hi")).select("_gid", between(F.col("_lo"), F.col("_hi"), F.when(F.col("_lo") == F.col("_hi"), 0.0).otherwise(0.5)).alias("median"))
+    return cut(near.select("_gid", "size").join(middle, "_gid", "left"))
+
+
 def _pair_stats(pairs: DataFrame) -> DataFrame:
     return statistics(pairs.select("_tid", F.col("p_price").alias("_price_m2"), F.col("p_extreme").alias("_extreme")), ["_tid"])
 

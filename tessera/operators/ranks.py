@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 CELLS = 1024
 
 
-def _cell(v: Column) -> Column:
-    """A number that never falls as v rises: roots are rounded correctly, so their order is that of the values."""
-    return (F.floor(F.sqrt(F.sqrt(F.abs(v))) * CELLS) * F.signum(v) + F.when(v < 0, -1).otherwise(0)).cast("long")
+def cell(v: Column) -> Column:
+    """A number that never falls as v rises: roots are rounded correctly, so their order is that of the values. NaN is above all."""
+    return F.when(F.isnan(v), 2**63 - 1).otherwise((F.floor(F.sqrt(F.sqrt(F.abs(v))) * CELLS) * F.signum(v) + F.when(v < 0, -1).otherwise(0)).cast("long"))
 
 
 def ranked(rows: DataFrame, by: list[str], value: str, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
@@ -22,7 +22,7 @@ def ranked(rows: DataFrame, by: list[str], value: str, ranks: Callable[[Column],
     Values are counted, and the counts added up by cell of the value, of which a group has a bounded number; ranks fall into cells, and only the
     values in those are put in order. All but the cells are dealt out by value, so a group of any size has no task of its own."""
     counts = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_b", _cell(F.col("_v")))
+    counts = counts.withColumn("_b", cell(F.col("_v")))
     group = by or [F.lit(1)]
     cells = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_m"))
     cells = cells.withColumn("_before", F.sum("_m").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_m")).withColumn("n", F.sum("_m").over(Window.partitionBy(*group)))

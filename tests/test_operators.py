@@ -395,3 +395,29 @@ def test_rooms_written_as_their_key(spark):
     texts = ["2", " 2 ", "02", "+2", "-2", "-0", "2.0", "2e0", "2_0", "999999999999999", "9007199254740993", "", " ", None, "Studio", "студия", "nan", "5 и более", "1d"]
     df = spark.createDataFrame([(x,) for x in texts], "rooms string").select("rooms", features.rooms_key().alias("k"))
     assert {x.rooms: x.k for x in df.collect()} == dict(zip(texts, ["2", "2", "2", "2", "-2", "0", "2", "2", "20", "999999999999999", "9007199254740992", None, None, None, "studio", "studio", "nan", "5 и более", "1d"]))
+
+
+def test_medians_within_a_radius(spark):
+    """Sizes and medians against all pairs: rows without price, NaN, infinity, equal prices, ids left out, and medians between two cells."""
+    import random
+
+    r = random.Random(11)
+    pool_, some = _around(r, 700, range(40)), [(i, *x[1:5], x[0] if i % 2 and x[0] else None) for i, x in enumerate(_around(r, 50, range(30, 50)))]
+    places = spark.createDataFrame(some, "_gid long, _finish string, _rooms string, _lat double, _lon double, _own string")
+    for own in (True, False):
+        given = places if own else places.where("_own is null")
+        got = {x._gid: (x.size, str(x.median)) for x in cohort.medians_within(given, spark.createDataFrame(pool_, _AROUND), 1.0, 3, some=own).select("_gid", F.col("size"), F.round("median", 6).alias("median")).toLocalIterator()}
+        pairs = [(g, p[5]) for g, f, m, y, x, o in some for p in pool_ if (own or o is None) and None not in (m, y, p[3]) and p[1:3] == (f, m) and p[0] != o and _km((y, x), p[3:5]) <= 1]
+        want = spark.createDataFrame(pairs, "g long, v double").groupBy("g").agg(F.count("*").alias("n"), F.round(F.median("v"), 6).alias("m")).where("n >= 3")
+        assert got == {x.g: (x.n, str(x.m)) for x in want.collect()} and len(got) > 5
+
+
+def test_the_superseded_scorer_makes_no_pairs_of_copies(spark):
+    """100 million pairs, if targets and pool rows of one point were paired one by one; one target is in the pool, one has no rooms."""
+    from tessera.operators import superseded
+
+    row = "cast(id + {0} as string) AS id, {1} AS price, 50d AS square_m2, '2' AS rooms, 51d AS latitude, 71d AS longitude"
+    pool_ = spark.range(50_000).selectExpr(*row.format(0, "5000d + id").split(", "))
+    some = spark.range(2_000).selectExpr(*row.format(49_999, "4000d").split(", ")).withColumn("rooms", F.when(F.col("id") != "50000", F.col("rooms")))
+    got = superseded.score(some, pool_).groupBy("status", "cohort_level", "cohort_size", "base_price_m2").count().collect()
+    assert {tuple(x) for x in got} == {("scored", "4", 50_000, 599.99, 1998), ("scored", "4", 49_999, 599.98, 1), ("no_comparables", None, None, None, 1)}
